@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm import bpe_codec, langid, media_mpeg, mixing, token_files, url_filter
+from streetweave.llm import bpe_codec, langid, line_dedup, media_mpeg, mixing, simhash, token_files, url_filter
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -25,6 +25,11 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
 
@@ -38,6 +43,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dup_64(_table(spark, sf_dir, "documents"), words=3, budget=2)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = langid.fit(docs, crc_mod("doc_id", 3) != 1)
@@ -55,9 +64,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_token_files": op3_token_files,
     "op4_url_filter": op4_url_filter,
+    "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op8_mixing": op8_mixing,
     "op10_media": op10_media,
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULES_SQL = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL + "SELECT doc_id, n_lines, n_dropped, CAST(length(t) AS BIGINT) AS kept_chars, md5(t) AS kept_md5 FROM res UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL",
     "op4_url_filter": f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {_RULES_SQL}),
 cut AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') END AS rest FROM pages),
