@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm import bpe_codec, langid, line_dedup, media_mpeg, mixing, simhash, token_files, url_filter
+from streetweave.llm import bpe_codec, embed_dedup, langid, line_dedup, media_mpeg, mixing, simhash, token_files, url_filter
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -58,6 +58,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dup_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media_mpeg.to_mpeg(_table(spark, sf_dir, "documents"), keep=wanted)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op8_mixing": op8_mixing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_media": op10_media,
 }
 
