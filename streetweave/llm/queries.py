@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm import bpe_codec, embed_dedup, langid, line_dedup, media_mpeg, mixing, simhash, token_files, url_filter
+from streetweave.llm import bpe_codec, embed_dedup, langid, line_dedup, lm_score, media_mpeg, mixing, simhash, token_files, url_filter
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -54,6 +54,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score_texts(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_lm_score": op7_lm_score,
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_media": op10_media,
