@@ -41,7 +41,7 @@ from streetweave.llm.common import materialise, prepare
 
 #: Bytes of text in a block, and hashes in a share, about.
 BLOCK, SHARE = 8 << 20, 2 << 20
-ORDER, PRIOR = 2, 50.0
+ORDER, PRIOR = 2, 500.0
 ADD = 0.1
 END, START = b" ", b"  "  # no word contains white space
 
