@@ -334,8 +334,9 @@ BITS, BAND, BAND_BUDGET = 256, 32, 3
 
 def allowed_bits(similarity: float, bits: int) -> int:
     """Differing bits at which fingerprints show that (Jaccard) similarity: the angle between sets of shingles of one size,
-    as a share of the half turn."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+    as a share of the half turn, and one standard deviation, so that most pairs just above it are found."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * p + (bits * p * (1 - p)) ** 0.5)
 
 
 def near_dup(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
