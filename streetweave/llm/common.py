@@ -57,6 +57,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete what `materialise` wrote, once nothing reads it any more."""
     path = getattr(df, "_streetweave_path", None)

@@ -104,8 +104,8 @@ def fit(docs: DataFrame, trains: F.Column | None = None, sample: int = SAMPLE, r
     """Learn profiles from docs (doc_id, text, lang): language -> its n-grams in order.
 
     trains: condition on doc_id for the rows to learn from. The driver gets `ranks` numbers a language."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "lang")
     usable = F.col("lang").isNotNull() & (trains if trains is not None else F.lit(True))
     sizes = docs.where(usable).groupBy("lang").agg(F.count("*").alias("n_docs")).withColumnRenamed("lang", "its_lang")
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
@@ -147,31 +147,31 @@ def fit(docs: DataFrame, trains: F.Column | None = None, sample: int = SAMPLE, r
     return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text and the columns of `keep`) -> those of `keep`, doc_id, lang_pred, score."""
-    spark = docs.sparkSession
-    prepare(spark)
-    kept = docs.select(F.col("text").cast("string").alias("its_text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"])
-    schema = kept.drop("its_text").schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, lang_pred, score."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, ranks)
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score"],
-            )
+            found = [model.predict(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def reject_foreign(docs: DataFrame, least: float, sample: int = SAMPLE, ranks: int = RANKS) -> DataFrame:
-    """The rows of `docs` whose language is found with a score of `least` or more, with their columns."""
-    if not set(docs.columns) >= {"doc_id", "text", "lang"}:
-        raise ValueError("doc_id, text and lang are needed")
+    """The rows of `docs` (doc_id, text, lang, any other columns) in a learned language with a score of `least` or more.
+
+    Learns from the rows that have a language; that and the id play no part in what is kept."""
     profiles = fit(docs, sample=sample, ranks=ranks)
-    out = identify(docs, profiles, ranks, tuple(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return out.select(*docs.columns)
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(profiles, ranks)
+        for batch in batches:
+            found = [model.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
+    return docs.mapInArrow(run, docs.schema)

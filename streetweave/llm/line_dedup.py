@@ -18,7 +18,7 @@ leaves' lines are shuffled; the texts move once, to meet the list of lines that
 Defined results: a null text stays null and has no lines; empty lines are kept and never counted. Rows of
 one id are one document (they share what they lose); null ids are a document that keeps no recurring
 template. An empty table gives an empty result. Columns of `docs` come through unchanged but for
-`text`; names used inside are prefixed, and clash only if the table has names that start with `ld_`.
+`text`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetweave.llm.common import materialise
+from streetweave.llm.common import fresh, materialise
 
 LEAD = 3
 MIN_DOCS = 3
 FIELD = "<*>"
+COUNTS = ("n_lines", "n_dropped")
 
 
 def _mask(line: Column) -> Column:
@@ -90,19 +91,20 @@ def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD) -
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, counts: bool = False) -> DataFrame:
     """`docs` (doc_id, text, any other columns) without the lines of recurring templates.
 
-    counts: adds n_lines and n_dropped."""
-    lost = lines_to_drop(docs, min_docs, lead)
-    d = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("ld_doc")), "left")
+    counts: adds n_lines and n_dropped, in place of columns of those names."""
+    who, drop, kept = (fresh(docs, x) for x in ("ld_doc", "ld_drop", "ld_kept"))
+    lost = lines_to_drop(docs, min_docs, lead).select(F.col("ld_doc").alias(who), F.col("ld_drop").alias(drop))
+    d = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(who)), "left")
     pairs = F.arrays_zip(F.split("text", "\n").alias("line"), masked_lines(F.col("text")).alias("norm"))
-    kept = F.filter(pairs, lambda x: ~F.array_contains(F.col("ld_drop"), F.xxhash64(x["norm"])))
-    kept_lines = F.when(F.col("ld_drop").isNull(), F.lit(None)).otherwise(F.transform(kept, lambda x: x["line"]))
-    d = d.withColumn("ld_kept", kept_lines)
-    text = F.when(F.col("ld_drop").isNull(), F.col("text")).otherwise(F.array_join("ld_kept", "\n"))
-    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n)
-    dropped = F.when(F.col("ld_drop").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("ld_kept"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return d.select(*columns, *([n.alias("n_lines"), dropped.alias("n_dropped")] if counts else []))
+    left = F.filter(pairs, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(x["norm"])))
+    d = d.withColumn(kept, F.when(F.col(drop).isNotNull(), F.transform(left, lambda x: x["line"])))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    columns = [text if c == "text" else F.col(c) for c in docs.columns if not (counts and c in COUNTS)]
+    if counts:
+        n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long")
+        lost_lines = F.coalesce(F.when(F.col(drop).isNotNull(), n - F.size(kept)), F.lit(0)).cast("long")
+        columns += [n.alias(COUNTS[0]), lost_lines.alias(COUNTS[1])]
+    return d.select(*columns)
 
 
 ORACLE_SQL = f"""

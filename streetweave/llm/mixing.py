@@ -57,8 +57,13 @@ def _uniform(seed: int) -> F.Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
-    """docs (doc_id, text, source and those of `keep`) -> doc_id, size, source, source_size, target, copies, taken, and those of `keep`."""
+def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken."""
+    return _plan(docs, weights, most, seed, ())
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], most: float, seed: int, keep: Sequence[str]) -> DataFrame:
+    """The plan, and the columns of `keep` as keep_..."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     own = [F.col("doc_id"), F.col("source"), size.alias("size"), _uniform(seed).alias("u")]
     slim = materialise(docs.select(*own), "mix-sizes")  # every later pass but the last reads this, not the texts
@@ -86,7 +91,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     extra = (F.col("p") > 0) & F.col("cut_slot").isNotNull() & (F.col("size") > 0) & ((slot < F.col("cut_slot")) | ((slot == F.col("cut_slot")) & (F.col("u") <= F.coalesce("edge_u", F.lit(-1.0)))))
     copies = F.col("whole") + F.when(extra, F.lit(1)).otherwise(F.lit(0))
     out = out.withColumn("copies", F.least(copies, F.lit(int(most))).cast("long"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}") for c in keep])
 
 
 def _at(left: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
@@ -102,7 +107,6 @@ def _small(by_source: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42) -> DataFrame:
     """The mix itself: every document as often as `plan_mix` takes it, with the columns of `docs`."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    out = plan_mix(docs, weights, most, seed, rest).where(F.col("copies") > 0)
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(*docs.columns)
+    out = _plan(docs, weights, most, seed, docs.columns).where(F.col("copies") > 0)
+    out = out.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy"), *[F.col(f"keep_{c}") for c in docs.columns])
+    return out.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

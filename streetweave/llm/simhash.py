@@ -355,7 +355,9 @@ def near_dup(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: in
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group. Rows of a null id stay, as nothing names them."""
+    """The rows of `docs` (doc_id, text, any other columns) whose id is the smallest of its group.
+
+    Rows of one id are one document, kept or dropped together; rows of a null id stay, as nothing names them."""
     groups = near_dup(docs, words, similarity)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("its_doc")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("its_doc"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["its_doc"], "left_anti")
