@@ -515,14 +515,14 @@ cr AS (SELECT p.edge_id, p.len, ((q.ax - p.ax) * (q.yb - q.ay) - (q.ay - p.ay) *
 ct AS (SELECT DISTINCT edge_id, round(t * len, 3) AS pos FROM cr WHERE t >= -1e-6 AND t <= 1 + 1e-6 AND s >= -1e-6 AND s <= 1 + 1e-6 AND t * len > 1e-3 AND t * len < len - 1e-3),
 st AS (SELECT edge_id, 0.0::DOUBLE AS pos FROM dl UNION ALL SELECT * FROM ct UNION ALL SELECT edge_id, len FROM dl),
 pc AS (SELECT edge_id, row_number() OVER w - 1 AS piece, lead(pos) OVER w - pos AS len, count(*) OVER (PARTITION BY edge_id) AS c FROM st WINDOW w AS (PARTITION BY edge_id ORDER BY pos))
-SELECT edge_id, piece, round(len, 2) AS len FROM pc WHERE len IS NOT NULL AND (c = 2 OR (len > 0.05 AND NOT ((piece = 0 OR piece = c - 2) AND len < 0.1)))"""
+SELECT edge_id, piece, round(len, 3) AS len FROM pc WHERE len IS NOT NULL AND (c = 2 OR (len > 0.05 AND NOT ((piece = 0 OR piece = c - 2) AND len < 0.1)))"""
 )
 
 
 @_query(_DIAGONALS)
 def segment_intersections(spark, sf_dir):
     d = prepare.segment_intersections(derived.diagonals(spark, sf_dir), extension=0.0)
-    return d.select("edge_id", F.col("piece").cast("long").alias("piece"), F.round(G.length(F.col("geom")), 2).alias("len"))
+    return d.select("edge_id", F.col("piece").cast("long").alias("piece"), F.round(G.length(F.col("geom")), 3).alias("len"))
 
 
 @_query(_base() + " SELECT x, y, count(*) AS junct_cnt FROM (SELECT ax AS x, ay AS y FROM edges UNION ALL SELECT bx, yb FROM edges) GROUP BY x, y")
