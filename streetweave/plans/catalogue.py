@@ -30,6 +30,12 @@ def network(spark: SparkSession, sf_dir: str, directed: bool = False, costs: boo
     return _networks[key]
 
 
+def forget() -> None:
+    """Drop what is kept for the session, so that the next query works from the tables."""
+    _networks.clear()
+    _tables.clear()
+
+
 def _ids(net: SpatialNetwork, kind: str, extra: str | None = None) -> DataFrame:
     e = net.entries.where(F.col("kind") == kind)
     return (e.where(extra) if extra else e).select("entry_id")
@@ -52,11 +58,6 @@ def _r(c: str, digits: int = 4) -> F.Column:
     return F.round(c, digits).alias(c)
 
 
-def _some(net: SpatialNetwork, kind: str, part: int) -> DataFrame:
-    """Entries whose id is divisible by `part`: the few that route queries start from."""
-    return _ids(net, kind, f"entry_id % {part} = 0")
-
-
 ROUTES = {"limit": 400.0, "detour": 1.15}
 
 
