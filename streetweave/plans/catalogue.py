@@ -217,19 +217,19 @@ def labels_bounded(spark, sf_dir):
     return net.labels(net._ends(_ids(net, "origin")), 500.0).select("o", "node", _r("dist"))
 
 
-_NODE_WALK = ", w(o, node, dist, path) AS (SELECT id, id, 0.0::DOUBLE, CAST([] AS BIGINT[]) FROM nodes WHERE id % 50 = 0 UNION ALL SELECT w.o, a.dst, w.dist + a.cost, list_append(w.path, a.edge_id) FROM w JOIN arcs a ON a.src = w.node WHERE w.dist + a.cost <= 450 AND NOT list_contains(w.path, a.edge_id))"
+_NODE_WALK = ", w(o, node, dist, path) AS (SELECT id, id, 0.0::DOUBLE, CAST([] AS BIGINT[]) FROM nodes UNION ALL SELECT w.o, a.dst, w.dist + a.cost, list_append(w.path, a.edge_id) FROM w JOIN arcs a ON a.src = w.node WHERE w.dist + a.cost <= 450 AND NOT list_contains(w.path, a.edge_id))"
 
 
 @_query(_base() + _NODE_WALK + " SELECT o, node, round(min(dist), 4) AS dist FROM w GROUP BY o, node")
 def node_shortest_distance(spark, sf_dir):
     net = network(spark, sf_dir)
-    return distance.node_distances(net.arcs, net.nodes.where("node_id % 50 = 0"), 450.0).select("o", "node", _r("dist"))
+    return distance.node_distances(net.arcs, net.nodes, 450.0).select("o", "node", _r("dist"))
 
 
 @_query(_base() + _NODE_WALK + " SELECT o AS src, node AS dst, round(min(dist), 4) AS length, array_to_string(arg_min(path, dist), '-') AS edges FROM w WHERE node = o + 2 * (SELECT w FROM n) + 1 GROUP BY o, node")
 def node_shortest_path(spark, sf_dir):
     net, (_, _, w) = network(spark, sf_dir), derived._grid(spark, sf_dir)
-    pairs = net.nodes.where("node_id % 50 = 0").select(F.col("node_id").alias("src"), (F.col("node_id") + 2 * w + 1).alias("dst"))
+    pairs = net.nodes.select(F.col("node_id").alias("src"), (F.col("node_id") + 2 * w + 1).alias("dst"))
     return distance.node_paths(net.arcs, pairs, 450.0).select("src", "dst", _r("length"), F.array_join("edges", "-").alias("edges"))
 
 
@@ -237,7 +237,7 @@ def node_shortest_path(spark, sf_dir):
 def node_path_length(spark, sf_dir):
     """Lengths summed again from the paths' edges."""
     net, (_, _, w) = network(spark, sf_dir), derived._grid(spark, sf_dir)
-    pairs = net.nodes.where("node_id % 50 = 0").select(F.col("node_id").alias("src"), (F.col("node_id") + 2 * w + 1).alias("dst"))
+    pairs = net.nodes.select(F.col("node_id").alias("src"), (F.col("node_id") + 2 * w + 1).alias("dst"))
     found = distance.node_paths(net.arcs, pairs, 450.0).select(F.col("src").alias("path_id"), "edges")
     return build.path_length(found, net.edges).select("path_id", _r("length"))
 
@@ -294,11 +294,11 @@ def reach_ndw(spark, sf_dir):
     return _reach(spark, sf_dir, "NDW")
 
 
-@_query(_od_sql(500.0) + ", f AS (SELECT o, count(*) AS c, sum(w) AS s FROM odw JOIN entries e ON e.entry_id = d WHERE o % 2 = 0 AND category = 'BUILDING' GROUP BY o) SELECT entry_id, coalesce(c, 0) AS reach, round(coalesce(s, 0), 4) AS reach_w FROM entries LEFT JOIN f ON f.o = entry_id WHERE kind = 'origin'")
+@_query(_od_sql(500.0) + ", f AS (SELECT o, count(*) AS c, sum(w) AS s FROM odw JOIN entries e ON e.entry_id = d JOIN entries oe ON oe.entry_id = o WHERE oe.category = 'S0' AND e.category = 'BUILDING' GROUP BY o) SELECT entry_id, coalesce(c, 0) AS reach, round(coalesce(s, 0), 4) AS reach_w FROM entries LEFT JOIN f ON f.o = entry_id WHERE kind = 'origin'")
 def reach_filtered(spark, sf_dir):
     """Chosen origins and destinations, as columns of all entries."""
     net = network(spark, sf_dir)
-    out = net.reach_column(_ids(net, "origin", "entry_id % 2 = 0"), _ids(net, "dest", "category = 'BUILDING'"), "W", ReachOptions(limit=500.0, result="reach"))
+    out = net.reach_column(_ids(net, "origin", "category = 'S0'"), _ids(net, "dest", "category = 'BUILDING'"), "W", ReachOptions(limit=500.0, result="reach"))
     return out.where("kind = 'origin'").select("entry_id", F.col("reach").cast("long").alias("reach"), F.round("reach_W", 4).alias("reach_w"))
 
 
@@ -376,13 +376,13 @@ def service_area_nodes(spark, sf_dir):
     return net.service_nodes(_ids(net, "origin"), 350.0).select("o", "node_id", _r("dist"), "x", "y")
 
 
-_FROM_NODES = ", lw(o, node, dist) AS (SELECT id, id, 0.0::DOUBLE FROM nodes WHERE id % 100 = 0 UNION SELECT lw.o, a.dst, lw.dist + a.cost FROM lw JOIN arcs a ON a.src = lw.node WHERE lw.dist + a.cost <= 350), labels AS (SELECT o, node, min(dist) AS dist FROM lw GROUP BY o, node)"
+_FROM_NODES = ", lw(o, node, dist) AS (SELECT id, id, 0.0::DOUBLE FROM nodes UNION SELECT lw.o, a.dst, lw.dist + a.cost FROM lw JOIN arcs a ON a.src = lw.node WHERE lw.dist + a.cost <= 350), labels AS (SELECT o, node, min(dist) AS dist FROM lw GROUP BY o, node)"
 
 
 @_query(_area_sql(False, _FROM_NODES) + "SELECT o, edge_id, round(vector, 4) AS vector FROM area")
 def service_area_from_node(spark, sf_dir):
     net = network(spark, sf_dir)
-    labels = distance.node_distances(net.arcs, net.nodes.where("node_id % 100 = 0"), 350.0)
+    labels = distance.node_distances(net.arcs, net.nodes, 350.0)
     return service.service_area(labels, net.edges, 350.0).select("o", "edge_id", _r("vector"))
 
 
@@ -510,7 +510,7 @@ def bbox_overlap_pairs(spark, sf_dir):
 
 _DIAGONALS = (
     _base()
-    + """, dg AS (SELECT 2 * id AS edge_id, id AS u, id + w + 1 AS v FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n AND sz % 2 = 0 UNION ALL SELECT 2 * id + 1, id + 1, id + w FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n AND sz % 2 = 0),
+    + """, dg AS (SELECT 2 * id AS edge_id, id AS u, id + w + 1 AS v FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n UNION ALL SELECT 2 * id + 1, id + 1, id + w FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n),
 dl AS (SELECT edge_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS len FROM dg JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v),
 cr AS (SELECT p.edge_id, p.len, ((q.ax - p.ax) * (q.yb - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) / det AS t, ((q.ax - p.ax) * (p.yb - p.ay) - (q.ay - p.ay) * (p.bx - p.ax)) / det AS s FROM (SELECT p, q, (p.bx - p.ax) * (q.yb - q.ay) - (p.yb - p.ay) * (q.bx - q.ax) AS det FROM dl p JOIN dl q ON p.edge_id <> q.edge_id) WHERE abs(det) > 1e-12),
 ct AS (SELECT DISTINCT edge_id, round(t * len, 3) AS pos FROM cr WHERE t >= -1e-6 AND t <= 1 + 1e-6 AND s >= -1e-6 AND s <= 1 + 1e-6 AND t * len > 1e-3 AND t * len < len - 1e-3),
@@ -536,17 +536,17 @@ def dead_end_lines(spark, sf_dir):
     return prepare.mark_dead_ends(network(spark, sf_dir).edges.select("edge_id", "geom")).select("edge_id", "dead_end")
 
 
-@_query(_base().replace("arcs AS (", "all_arcs AS (", 1).replace("segs AS (", "arcs AS (SELECT * FROM all_arcs WHERE edge_id % 5 <> 0),\nsegs AS (", 1).replace("snapped AS (", "kept AS (SELECT * FROM best WHERE edge_id % 5 <> 0),\nsnapped AS (", 1).replace("JOIN best b USING", "JOIN kept b USING", 1) + _labels(500.0) + _pairs(500.0) + " SELECT o, count(*) AS r, round(min(pth), 4) AS r_d FROM od GROUP BY o")
+@_query(_base().replace("arcs AS (", "all_arcs AS (", 1).replace("segs AS (", "long_edges AS (SELECT edge_id FROM edges WHERE len > 115),\narcs AS (SELECT * FROM all_arcs WHERE edge_id NOT IN (SELECT edge_id FROM long_edges)),\nsegs AS (", 1).replace("snapped AS (", "kept AS (SELECT * FROM best WHERE edge_id NOT IN (SELECT edge_id FROM long_edges)),\nsnapped AS (", 1).replace("JOIN best b USING", "JOIN kept b USING", 1) + _labels(500.0) + _pairs(500.0) + " SELECT o, count(*) AS r, round(min(pth), 4) AS r_d FROM od GROUP BY o")
 def edge_removed_graph(spark, sf_dir):
     net = network(spark, sf_dir)
-    less = net.without_edges(net.edges.where("edge_id % 5 = 0").select("edge_id"))
+    less = net.without_edges(net.edges.where("len > 115").select("edge_id"))
     return metrics.reach(less.od(_ids(less, "origin"), _ids(less, "dest"), 500.0), _weights(spark, sf_dir), "ND", 500.0).select("o", "r", _r("r_d"))
 
 
-@_query(_base() + ", e5 AS (SELECT * FROM edges WHERE u % 7 <> 0 AND v % 7 <> 0) SELECT (SELECT count(*) FROM e5) AS n_edges, (SELECT count(*) FROM (SELECT u FROM e5 UNION SELECT v FROM e5)) AS n_nodes")
+@_query(_base() + ", e5 AS (SELECT * FROM edges WHERE ax >= 500 AND bx >= 500) SELECT (SELECT count(*) FROM e5) AS n_edges, (SELECT count(*) FROM (SELECT u FROM e5 UNION SELECT v FROM e5)) AS n_nodes")
 def node_removed_graph(spark, sf_dir):
     net = network(spark, sf_dir)
-    nodes, edges = build.remove_nodes(net.nodes, net.edges, net.nodes.where("node_id % 7 = 0").select("node_id"))
+    nodes, edges = build.remove_nodes(net.nodes, net.edges, net.nodes.where("x < 500").select("node_id"))
     return edges.agg(F.count("*").alias("n_edges")).crossJoin(nodes.agg(F.count("*").alias("n_nodes")))
 
 

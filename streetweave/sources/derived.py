@@ -47,10 +47,10 @@ def grid_edges(spark: SparkSession, sf_dir: str, directed: bool = False) -> Data
 
 
 def diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Straight lines across grid cells, both ways, in cells of even size: (edge_id, geom). The two of a cell cross."""
+    """Straight lines across grid cells, both ways: (edge_id, geom). The two of a cell cross."""
     part, n, w = _grid(spark, sf_dir)
     i = F.col("id")
-    inside = (i % w + 1 < w) & (i + w + 1 < n) & (F.col("sz") % 2 == 0)
+    inside = (i % w + 1 < w) & (i + w + 1 < n)
     a, b = F.struct((i * 2).alias("edge_id"), i.alias("u"), (i + w + 1).alias("v")), F.struct((i * 2 + 1).alias("edge_id"), (i + 1).alias("u"), (i + w).alias("v"))
     d = part.where(inside).select(F.explode(F.array(a, b)).alias("e")).select("e.*")
     return d.select("edge_id", G.line(G.point(_x(F.col("u"), w), _y(F.col("u"), w)), G.point(_x(F.col("v"), w), _y(F.col("v"), w))).alias("geom"))
