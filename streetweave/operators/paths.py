@@ -31,7 +31,7 @@ def enumerate_paths(arcs: DataFrame, labels: DataFrame, origins: DataFrame, dest
     open_ = open_.join(lab.withColumnRenamed("dist", "lab"), ["o", "node"]).where(F.col("len") + F.col("lab") <= F.col("lim"))
     open_ = cut(open_.select("o", "d", "oe", "lim", "node", "len", "lab", F.array(F.col("de").cast("long")).alias("edges")))
     done = same
-    for _ in range(MAX_ROUNDS):
+    for k in range(MAX_ROUNDS):
         n = open_.count()
         if n == 0:
             break
@@ -39,7 +39,10 @@ def enumerate_paths(arcs: DataFrame, labels: DataFrame, origins: DataFrame, dest
             raise RuntimeError(f"{n} routes are open; lower the limit or the detour ratio, or raise max_open")
         closed = open_.join(ends_o, ["o", "node"]).where(~F.array_contains("edges", F.col("oe").cast("long")))
         closed = closed.select("o", "d", (F.col("len") + F.col("off")).alias("length"), F.concat("edges", F.array(F.col("oe").cast("long"))).alias("edges"), "lim").where(F.col("length") <= F.col("lim"))
-        done = done.unionByName(cut(closed.select("o", "d", "length", F.reverse("edges").alias("edges"))))
+        # Complete routes are worked out together at the end, from the checkpoints of their rounds.
+        done = done.unionByName(closed.select("o", "d", "length", F.reverse("edges").alias("edges")))
+        if k % 16 == 15:
+            done = cut(done)
         step = open_.join(into, "node").where((F.col("edge_id") != F.col("oe")) & ~F.array_contains("edges", F.col("edge_id").cast("long")))
         step = step.select("o", "d", "oe", "lim", F.col("back").alias("node"), (F.col("len") + F.col("cost")).alias("len"), F.col("lab").alias("last"), F.concat("edges", F.array(F.col("edge_id").cast("long"))).alias("edges"))
         step = step.join(lab.withColumnRenamed("dist", "lab"), ["o", "node"]).where(F.col("len") + F.col("lab") <= F.col("lim"))

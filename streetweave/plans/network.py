@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetweave.functions import geometry as G
+from streetweave.functions import style
 from streetweave.operators import build, distance, metrics, paths, prepare, service, snap
 from streetweave.plans.options import BetweennessBatchOptions, BetweennessOptions, ReachBatchOptions, ReachOptions, SessionOptions, StraightnessOptions
 from streetweave.runtime import cut
@@ -78,6 +79,16 @@ class SpatialNetwork:
         o, d = cut(self._ends(origins)), cut(self._ends(dests))
         return distance.od_distances(self.labels(o, limit), o, d, limit)
 
+    def entry_distance(self, origin: int, dest: int, limit: float = 10_000.0) -> DataFrame:
+        """One row (o, d, pth, fly, same_edge) for a pair of entries, or none beyond the limit."""
+        return self.od([origin], [dest], limit)
+
+    def entry_paths(self, origin: int, dest: int, options: BetweennessOptions | None = None) -> DataFrame:
+        """Routes (o, d, length, edges) of a pair of entries, of all weights."""
+        o = options or BetweennessOptions()
+        src, dst = cut(self._ends([origin])), cut(self._ends([dest]))
+        return paths.enumerate_paths(self.arcs, self.labels(src, o.limit * o.detour), src, dst, o.limit, o.detour, not (o.true_paths or o.singular), o.path_limit)
+
     def _weights(self, column: str) -> DataFrame:
         w = F.col(column).cast("double") if column in self.entries.columns else F.lit(1.0)
         return self.entries.select(F.col("entry_id").alias("d"), w.alias("w"))
@@ -201,6 +212,16 @@ class SpatialNetwork:
         centre = self.nodes.agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
         return {"network": self.edges.select("edge_id", "geom"), "connectors": connect, "entries": self.entries.select("entry_id", "x", "y"), "centre": centre}
 
+    def attribute_layer(self, result: DataFrame, value: str, palette: str = "viridis", distribution: str = "decile", width: tuple[float, float] = (1.0, 5.0)) -> DataFrame:
+        """Edges with a result (edge_id, value) as map rows: geom, colour, hex, width, label and the label's place."""
+        d = self.edges.select("edge_id", "geom").join(result.select("edge_id", F.col(value).cast("double").alias("value")), "edge_id")
+        d = style.value_ramp(style.color_ramp(d, "value", "color", palette, distribution=distribution), "value", "width", omin=width[0], omax=width[1], distribution=distribution)
+        return d.withColumn("hex", style.hex_color(F.col("color"))).withColumn("label", style.number_label(F.col("value"))).withColumn("label_at", G.midpoint(F.col("geom")))
+
+    def junction_layer(self) -> DataFrame:
+        """Nodes as map rows: red for dead ends, blue for others, with the number of edge ends as label."""
+        return self.junctions().withColumn("color", style.red_blue(F.col("junct_cnt") == 1)).withColumn("label", F.col("junct_cnt").cast("string"))
+
     def register(self, prefix: str = "net_") -> None:
         """Temporary views for SQL: nodes, edges, entries, arcs."""
         for name in ("nodes", "edges", "entries", "arcs"):

@@ -302,6 +302,24 @@ def test_layers_and_views(spark, path):
     assert spark.sql("SELECT count(*) FROM t_edges JOIN t_arcs USING (edge_id)").first()[0] == 6
 
 
+def test_segmented_session_with_parts(spark):
+    """Two lines that cross, one of them as a part of several, are cut into a junction that routes can use."""
+    parts = spark.createDataFrame([(7, [[(0.0, 0.0), (100.0, 100.0)]]), (8, [[(0.0, 100.0), (100.0, 0.0)], [(500.0, 0.0), (600.0, 0.0)]])], "fid long, parts array<array<struct<x:double,y:double>>>")
+    e = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 100.0)], "fid long, x double, y double")
+    plain = SpatialNetwork.from_lines(parts, e)
+    assert plain.od(limit=500.0).count() == 0
+    cut = SpatialNetwork.from_lines(parts, e, SessionOptions(segment=True))
+    assert cut.entry_distance(0, 1, 500.0).first().pth == pytest.approx(math.sqrt(2) * 100, abs=0.01)
+    assert len(cut.entry_paths(0, 1, BetweennessOptions(limit=500.0)).first().edges) == 2
+
+
+def test_styled_layers(path):
+    flows = path.betweenness(options=BetweennessOptions(limit=250.0))
+    layer = path.attribute_layer(flows, "betweenness").collect()
+    assert len(layer) == 3 and all(r.hex.startswith("#") and 1 <= r.width <= 5 and r.label_at is not None for r in layer)
+    assert {r.label: tuple(r.color) for r in path.junction_layer().collect()} == {"1": (255, 0, 0), "2": (0, 0, 255)}
+
+
 def test_metrics_need_no_weights(path):
     od = path.od(limit=250.0)
     none = path.entries.select(F.col("entry_id").alias("d"), F.lit(None).cast("double").alias("w"))
