@@ -12,8 +12,9 @@ which keep their neighbours, are left for the stages that compare whole document
 licence lines and passages that many documents share are found. The document with the smallest id
 keeps a recurring template's lines; all others lose them.
 
-Only leaves with `min_docs` lines or more go on after the first count, and only hashes, ids and those
-leaves' lines are shuffled; the texts move once, to meet the list of lines that they lose.
+Only leaves with `min_docs` lines or more go on after the first count: a bit set of fixed size drops most
+other lines where they are read, and a join the rest. Hashes, ids and those leaves' lines are shuffled; the
+texts move once, to meet the list of lines that they lose.
 
 Defined results: a null text stays null and has no lines; empty lines are kept and never counted. Rows of
 one id are one document (they share what they lose); null ids are a document that keeps no recurring
@@ -32,6 +33,8 @@ LEAD = 3
 MIN_DOCS = 3
 FIELD = "<*>"
 COUNTS = ("n_lines", "n_dropped")
+#: Bits that tell most leaves that aren't crowded: 2 MB.
+SLOTS = 1 << 24
 
 
 def _mask(line: Column) -> Column:
@@ -41,7 +44,8 @@ def _mask(line: Column) -> Column:
 
 def masked_lines(text: Column) -> Column:
     """The lines with single blanks between tokens and `<*>` for tokens with a digit."""
-    flat = F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    # Only what isn't a single blank is replaced, which few places are.
+    flat = F.regexp_replace(text, "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+", " ")
     return F.transform(F.split(flat, "\n"), lambda x: _mask(F.trim(x)))
 
 
@@ -76,14 +80,27 @@ def _templates(lines: DataFrame, lead: int, min_docs: int) -> DataFrame:
     return made.select("ld_h", F.xxhash64("ld_leaf", "template").alias("ld_template"))
 
 
+def _maybe(leaves: DataFrame) -> Column:
+    """False only for lines whose leaf isn't in `leaves`: SLOTS bits, some of which leaves share, as one scalar of fixed size."""
+    slot = F.pmod(F.col("ld_leaf"), F.lit(SLOTS))
+    word, bit = F.floor(slot / 64).cast("int"), (slot % 64).cast("int")
+    words = leaves.groupBy(word.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    every = leaves.sparkSession.range(SLOTS // 64).select(F.col("id").cast("int").alias("at")).join(words, "at", "left")
+    filled = F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bits = every.agg(F.transform(filled, lambda x: x["bits"]).alias("bits"))
+    return F.getbit(F.get(bits.scalar(), word), bit) == 1
+
+
 def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD) -> DataFrame:
     """(ld_doc, ld_drop): for each document that loses lines, the hashes of those."""
     lines = _lines(docs, lead)
     crowded = materialise(lines.groupBy("ld_leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("ld_leaf"), "line-leaves")
-    lines = materialise(lines.join(crowded, "ld_leaf", "left_semi"), "line-lines")
-    placed = lines.drop("ld_norm", "ld_leaf").join(_templates(lines, lead, min_docs), "ld_h")
+    # Most lines go by the bits of crowded leaves, before the join, so their text isn't shuffled.
+    lines = materialise(lines.where(_maybe(crowded)).join(crowded, "ld_leaf", "left_semi"), "line-lines")
+    templates = materialise(_templates(lines, lead, min_docs), "line-templates")
+    placed = lines.drop("ld_norm", "ld_leaf").join(templates, "ld_h")
     recurring = placed.groupBy("ld_template").agg(F.countDistinct("ld_before").alias("b"), F.countDistinct("ld_after").alias("a"), F.min("ld_doc").alias("ld_first"))
-    recurring = recurring.where((F.col("a") >= min_docs) & (F.col("b") >= min_docs)).select("ld_template", "ld_first")
+    recurring = materialise(recurring.where((F.col("a") >= min_docs) & (F.col("b") >= min_docs)).select("ld_template", "ld_first"), "line-recurring")
     lost = placed.join(recurring, "ld_template").where(~F.col("ld_doc").eqNullSafe(F.col("ld_first")))
     return lost.groupBy("ld_doc").agg(F.collect_set("ld_h").alias("ld_drop"))
 
