@@ -46,19 +46,21 @@ def masked_lines(text: Column) -> Column:
     """The lines with single blanks between tokens and `<*>` for tokens with a digit."""
     # Only what isn't a single blank is replaced, which few places are.
     flat = F.regexp_replace(text, "[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20[\\x20\\x09\\x0B-\\x0D]+", " ")
-    return F.transform(F.split(flat, "\n"), lambda x: _mask(F.trim(x)))
+    return F.transform(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), _mask)
 
 
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
     """A row for each line that isn't empty: document, hash, leaf, the hashes of its neighbours, and the line."""
     d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ld_doc"), masked_lines(F.col("text")).alias("ld_norms"))
-    d = d.select("ld_doc", F.posexplode("ld_norms").alias("ld_at", "ld_norm"), F.transform("ld_norms", lambda x: F.xxhash64(x)).alias("ld_hs"))
+    # The hashes come before the rows are made, so that each line is hashed once for its document. The outer form has the same
+    # rows, and spares the filters on the array that the optimizer would add, which work out all lines again.
+    d = d.withColumn("ld_hs", F.transform("ld_norms", lambda x: F.xxhash64(x))).select("ld_doc", "ld_hs", F.posexplode_outer("ld_norms").alias("ld_at", "ld_norm"))
     own = F.xxhash64(F.lit("end"), F.coalesce(F.col("ld_doc").cast("string"), F.lit("")))
     near = lambda k: F.coalesce(F.get("ld_hs", F.col("ld_at") + k), own)
-    tokens = F.length("ld_norm") - F.length(F.replace(F.col("ld_norm"), F.lit(" "), F.lit(""))) + 1
+    tokens = F.octet_length("ld_norm") - F.octet_length(F.replace(F.col("ld_norm"), F.lit(" "), F.lit(""))) + 1
     return d.where(F.col("ld_norm") != "").select(
         "ld_doc",
-        F.xxhash64("ld_norm").alias("ld_h"),
+        F.get("ld_hs", F.col("ld_at")).alias("ld_h"),
         F.xxhash64(tokens, F.substring_index("ld_norm", " ", lead)).alias("ld_leaf"),
         near(-1).alias("ld_before"),
         near(1).alias("ld_after"),
