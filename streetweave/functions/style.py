@@ -18,7 +18,7 @@ RGB = "struct<r:int,g:int,b:int>"
 def stretch(df: DataFrame, value: str, out: str, vmin: float | None = None, vmax: float | None = None, distribution: str = "decile") -> DataFrame:
     """Adds `out`, 0 to 1: the value's place between the breaks of the distribution (decile, quantile: quarters) or between its ends (linear).
 
-    Breaks are exact percentiles of the held values, one row that is joined to all. Nulls stay null."""
+    Breaks are exact percentiles of the held values, one scalar value. Nulls stay null."""
     parts = {"decile": 10, "quantile": 4, "linear": 1}[distribution]
     v = F.col(value).cast("double")
     held = v
@@ -27,8 +27,8 @@ def stretch(df: DataFrame, value: str, out: str, vmin: float | None = None, vmax
     if vmax is not None:
         held = F.least(held, F.lit(float(vmax)))
     held = F.when(v.isNotNull(), held)
-    breaks = df.agg(F.percentile(held, F.array(*[F.lit(k / parts) for k in range(parts + 1)])).alias("_breaks"))
-    d = df.crossJoin(F.broadcast(breaks)).withColumn("_v", held)  # one row of breaks
+    breaks = df.agg(F.percentile(held, F.array(*[F.lit(k / parts) for k in range(parts + 1)])).alias("breaks"))
+    d = df.withColumn("_v", held).withColumn("_breaks", breaks.scalar())
     b = F.col("_breaks")
     k = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.size(F.filter(b, lambda x: x <= F.col("_v"))) - 1))
     lo, hi = F.get(b, k), F.get(b, k + 1)

@@ -88,8 +88,9 @@ def dead_end_ratio(edges: DataFrame) -> DataFrame:
 
 
 def size_info(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
-    one = [d.agg(F.count("*").alias(n)) for d, n in ((nodes, "n_nodes"), (edges, "n_edges"), (entries, "n_entries"))]
-    return one[0].crossJoin(one[1]).crossJoin(one[2])  # one row each
+    """One row: n_nodes, n_edges, n_entries."""
+    counts = [d.agg(F.count("*").alias("n")).scalar().alias(n) for d, n in ((nodes, "n_nodes"), (edges, "n_edges"), (entries, "n_entries"))]
+    return nodes.sparkSession.range(1).select(*counts)
 
 
 def remove_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

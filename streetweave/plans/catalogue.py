@@ -547,7 +547,7 @@ def edge_removed_graph(spark, sf_dir):
 def node_removed_graph(spark, sf_dir):
     net = network(spark, sf_dir)
     nodes, edges = build.remove_nodes(net.nodes, net.edges, net.nodes.where("x < 500").select("node_id"))
-    return edges.agg(F.count("*").alias("n_edges")).crossJoin(nodes.agg(F.count("*").alias("n_nodes")))
+    return build.size_info(nodes, edges, edges.limit(0)).select("n_edges", "n_nodes")
 
 
 @_query(_base() + " SELECT min(i) AS missing FROM range(1000000) r(i) WHERE i NOT IN (SELECT edge_id FROM edges)")
