@@ -343,9 +343,10 @@ def near_dup(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: in
     """docs (doc_id, text) -> doc_id, component_id, for texts whose shingles have a similarity, as their SimHash shows it.
 
     Fingerprints of BITS bits are cut into bands of BAND bits. The trie finds fingerprints that differ in at most
-    BAND_BUDGET bits of a band, and those link that differ in no more bits in all than the similarity allows."""
+    BAND_BUDGET bits of a band, and those link that differ in no more bits in all than the similarity allows. Fingerprints
+    are told apart by their smallest id, those of null ids only by a hash, as a negative number."""
     fps = materialise(fingerprints(docs, words, BITS), "simhash")
-    members = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.coalesce("id", F.lit(-1).cast("long"))), "simhash-members")
+    members = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.coalesce("id", F.xxhash64("fp").bitwiseOR(F.lit(-(1 << 63))))), "simhash-members")
     bands = [F.struct(F.lit(j).alias("band"), F.expr(f"shiftleft(cast(conv(substr(hex(fp), {BAND // 4 * j + 1}, {BAND // 4}), 16, 10) as bigint), {64 - BAND})").alias("key")) for j in range(BITS // BAND)]
     keys = members.select("node", F.col("fp").alias("payload"), F.explode(F.array(*bands)).alias("s")).select("node", F.col("s.band").alias("band"), F.col("s.key").alias("key"), "payload")
     roots = connected_components(trie_links(keys, BAND, BAND_BUDGET, allowed_bits(similarity, BITS), crowd))
