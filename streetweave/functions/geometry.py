@@ -36,13 +36,21 @@ def flatten(geom: Column) -> Column:
     return F.transform(geom, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(geom: Column) -> Column:
     """ARRAY<STRUCT<seg, ax, ay, bx, by, len, at>>: a line's pieces with two ends, and where each starts along the line."""
     n = F.size(geom)
-    raw = F.transform(F.slice(geom, 1, F.greatest(n - 1, F.lit(0))), lambda p, i: F.struct(i.alias("seg"), p["x"].alias("ax"), p["y"].alias("ay"), F.get(geom, i + 1)["x"].alias("bx"), F.get(geom, i + 1)["y"].alias("by")))
-    with_len = F.transform(raw, lambda s: s.withField("len", euclid(s["ax"], s["ay"], s["bx"], s["by"])))
-    offsets = F.aggregate(with_len, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["len"])))
-    return F.transform(F.arrays_zip(with_len.alias("s"), F.slice(offsets, 1, F.size(with_len)).alias("o")), lambda z: z["s"].withField("at", z["o"]))
+    raw = F.transform(F.slice(geom, 1, F.greatest(n - 1, F.lit(0))), lambda p, i: let(F.get(geom, i + 1), lambda q: F.struct(i.alias("seg"), p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"), euclid(p["x"], p["y"], q["x"], q["y"]).alias("len"))))
+
+    def with_offsets(pieces: Column) -> Column:
+        offsets = F.aggregate(pieces, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["len"])))
+        return F.zip_with(pieces, F.slice(offsets, 1, F.size(pieces)), lambda s, o: F.struct(*[s[c].alias(c) for c in ("seg", "ax", "ay", "bx", "by", "len")], o.alias("at")))
+
+    return let(raw, with_offsets)
 
 
 def length(geom: Column) -> Column:
@@ -63,25 +71,35 @@ def project_t(px, py, ax, ay, bx, by) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
+def _place(segs: Column, at: Column) -> Column:
+    """The point at a distance along the line of these segments."""
+
+    def on(s: Column) -> Column:
+        t = F.when(s["len"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (at - s["at"]) / s["len"])))
+        return let(t, lambda t: F.struct((s["ax"] + (s["bx"] - s["ax"]) * t).alias("x"), (s["ay"] + (s["by"] - s["ay"]) * t).alias("y")))
+
+    return let(F.element_at(F.filter(segs, lambda s: s["at"] <= F.greatest(at, F.lit(0.0))), -1), on)
+
+
 def interpolate(geom: Column, at: Column) -> Column:
     """The point at a distance along the line, held to its ends."""
-    segs = segments(geom)
-    past = F.filter(segs, lambda s: s["at"] <= F.greatest(at, F.lit(0.0)))
-    s = F.element_at(past, -1)
-    t = F.when(s["len"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (at - s["at"]) / s["len"])))
-    return F.struct((s["ax"] + (s["bx"] - s["ax"]) * t).alias("x"), (s["ay"] + (s["by"] - s["ay"]) * t).alias("y"))
+    return let(segments(geom), lambda segs: _place(segs, at))
 
 
 def sub_line(geom: Column, start: Column, end: Column) -> Column:
     """The part of a line between two distances along it."""
-    inner = F.filter(segments(geom), lambda s: (s["at"] > start) & (s["at"] < end))
-    return F.concat(F.array(interpolate(geom, start)), F.transform(inner, lambda s: F.struct(s["ax"].alias("x"), s["ay"].alias("y"))), F.array(interpolate(geom, end)))
+
+    def part(segs: Column) -> Column:
+        inner = F.transform(F.filter(segs, lambda s: (s["at"] > start) & (s["at"] < end)), lambda s: F.struct(s["ax"].alias("x"), s["ay"].alias("y")))
+        return F.concat(F.array(_place(segs, start)), inner, F.array(_place(segs, end)))
+
+    return let(segments(geom), part)
 
 
 def part_by_vector(geom: Column, vector: Column) -> Column:
     """The part that a signed fraction names: from the start if positive, the last part if negative."""
-    n = length(geom)
-    return F.when(F.abs(vector) >= 1, geom).when(vector >= 0, sub_line(geom, F.lit(0.0), vector * n)).otherwise(sub_line(geom, (1 + vector) * n, n))
+    piece = let(length(geom), lambda n: sub_line(geom, F.when(vector >= 0, F.lit(0.0)).otherwise((1 + vector) * n), F.when(vector >= 0, vector * n).otherwise(n)))
+    return F.when(F.abs(vector) >= 1, geom).otherwise(piece)
 
 
 def extend(geom: Column, distance) -> Column:
@@ -109,7 +127,7 @@ def bbox_overlap(a: Column, b: Column) -> Column:
 
 
 def midpoint(geom: Column) -> Column:
-    return interpolate(geom, length(geom) / 2)
+    return let(length(geom) / 2, lambda at: interpolate(geom, at))
 
 
 def centroid(geom: Column) -> Column:
