@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetweave.llm.common import prepare
+from streetweave.llm.common import materialise, prepare
 
 #: Labelled documents a language that the fit reads, about.
 SAMPLE = 2000
 #: n-grams in a profile, of a language and of a document.
 RANKS = 400
 BLOCK = 1 << 20
+#: Languages, of some 50 bytes each, up to which their table is broadcast; beyond, it is joined by a shuffle.
+FEW_LANGUAGES = 10_000
 
 _letters = None
 
@@ -108,6 +110,8 @@ def fit(docs: DataFrame, trains: F.Column | None = None, sample: int = SAMPLE, r
     docs = docs.select("doc_id", "text", "lang")
     usable = F.col("lang").isNotNull() & (trains if trains is not None else F.lit(True))
     sizes = docs.where(usable).groupBy("lang").agg(F.count("*").alias("n_docs")).withColumnRenamed("lang", "its_lang")
+    sizes = materialise(sizes, "lang-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
     chosen = docs.where(usable).join(sizes, F.col("lang") == F.col("its_lang")).where(u < F.lit(float(sample)) / F.col("n_docs"))
 
