@@ -7,10 +7,10 @@ as long as at least half of the line's tokens stay constant; the line with its v
 template.
 
 A template recurs across documents if it has at least `min_docs` different lines before it and as
-many after it (the ends of a document count as a line of its own). So the lines of copied documents,
-which keep their neighbours, are left for the stages that compare whole documents, while headers,
-licence lines and passages that many documents share are found. The document with the smallest id
-keeps a recurring template's lines; all others lose them.
+many after it: the nearest ones that aren't empty, or the end of the document, which counts as a line of
+its own. So the lines of copied documents, which keep their neighbours, are left for the stages that
+compare whole documents, while headers, licence lines and lines that many documents share are found. The
+document with the smallest id keeps a recurring template's lines; all others lose them.
 
 Only leaves with `min_docs` lines or more go on after the first count: a bit set of fixed size drops most
 other lines where they are read, and a join the rest. Hashes, ids and those leaves' lines are shuffled; the
@@ -51,7 +51,7 @@ def masked_lines(text: Column) -> Column:
 
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
     """A row for each line that isn't empty: document, hash, leaf, the hashes of its neighbours, and the line."""
-    d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ld_doc"), masked_lines(F.col("text")).alias("ld_norms"))
+    d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ld_doc"), F.filter(masked_lines(F.col("text")), lambda x: x != "").alias("ld_norms"))
     # The hashes come before the rows are made, so that each line is hashed once for its document. The outer form has the same
     # rows, and spares the filters on the array that the optimizer would add, which work out all lines again.
     d = d.withColumn("ld_hs", F.transform("ld_norms", lambda x: F.xxhash64(x))).select("ld_doc", "ld_hs", F.posexplode_outer("ld_norms").alias("ld_at", "ld_norm"))

@@ -66,6 +66,14 @@ def test_recurring_lines(spark, edge_docs, edge_rows, no_docs):
     assert line_dedup.drop_recurring_lines(no_docs, counts=True).count() == 0
 
 
+def test_empty_lines_are_no_neighbours(spark):
+    rng = random.Random(5)
+    notice = "this notice stands between blank lines in each"
+    rows = [(i, "\n".join([words(rng, 12), "", notice, " \t", "", words(rng, 12)]), "en", "a") for i in range(6)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(make(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else t.replace(notice + "\n", "") for i, t, *_ in rows}
+
+
 def test_line_dedup_is_native(spark, no_docs):
     plan = line_dedup.drop_recurring_lines(no_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
