@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go; n_chars follows the text."""
-    out = line_dedup.drop_recurring_lines(docs)
+    out = line_dedup.drop_recurring_lines(docs, lead_counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -68,7 +68,7 @@ def _lines(docs: DataFrame, lead: int) -> DataFrame:
     )
 
 
-def _templates(lines: DataFrame, lead: int, min_docs: int) -> DataFrame:
+def _templates(lines: DataFrame, lead: int, min_docs: int, lead_counts: bool) -> DataFrame:
     """(ld_h, ld_template) of the lines in crowded leaves."""
     norms = lines.groupBy("ld_leaf", "ld_h").agg(F.min("ld_norm").alias("ld_norm"), F.count("*").alias("n"))
     tokens = norms.select("ld_leaf", "ld_h", "n", F.posexplode(F.split("ld_norm", " ")).alias("p", "token"))
@@ -77,7 +77,7 @@ def _templates(lines: DataFrame, lead: int, min_docs: int) -> DataFrame:
     marked = tokens.join(seen, (F.col("ld_leaf") == F.col("l")) & (F.col("p") == F.col("q")) & (F.col("token") == F.col("t")), "left")
     constant = F.col("l").isNotNull() | ((F.col("p") < lead) & (F.col("token") != FIELD))
     general = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(constant, F.col("token")).otherwise(F.lit(FIELD)).alias("field")))), lambda x: x["field"]), " ")
-    made = marked.groupBy("ld_leaf", "ld_h").agg(general.alias("general"), F.avg(constant.cast("double")).alias("share"))
+    made = marked.groupBy("ld_leaf", "ld_h").agg(general.alias("general"), F.avg(constant.cast("double") if lead_counts else F.when(F.col("p") >= lead, constant.cast("double"))).alias("share"))
     made = made.withColumn("template", F.when(F.col("share") >= 0.5, F.xxhash64("general")).otherwise(F.col("ld_h")))
     return made.select("ld_h", F.xxhash64("ld_leaf", "template").alias("ld_template"))
 
@@ -93,13 +93,13 @@ def _maybe(leaves: DataFrame) -> Column:
     return F.getbit(F.get(bits.scalar(), word), bit) == 1
 
 
-def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD) -> DataFrame:
+def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, lead_counts: bool = True) -> DataFrame:
     """(ld_doc, ld_drop): for each document that loses lines, the hashes of those."""
     lines = _lines(docs, lead)
     crowded = materialise(lines.groupBy("ld_leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("ld_leaf"), "line-leaves")
     # Most lines go by the bits of crowded leaves, before the join, so their text isn't shuffled.
     lines = materialise(lines.where(_maybe(crowded)).join(crowded, "ld_leaf", "left_semi"), "line-lines")
-    templates = materialise(_templates(lines, lead, min_docs), "line-templates")
+    templates = materialise(_templates(lines, lead, min_docs, lead_counts), "line-templates")
     placed = lines.drop("ld_norm", "ld_leaf").join(templates, "ld_h")
     recurring = placed.groupBy("ld_template").agg(F.countDistinct("ld_before").alias("b"), F.countDistinct("ld_after").alias("a"), F.min("ld_doc").alias("ld_first"))
     recurring = materialise(recurring.where((F.col("a") >= min_docs) & (F.col("b") >= min_docs)).select("ld_template", "ld_first"), "line-recurring")
@@ -107,12 +107,13 @@ def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD) -
     return lost.groupBy("ld_doc").agg(F.collect_set("ld_h").alias("ld_drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEAD, counts: bool = False, lead_counts: bool = True) -> DataFrame:
     """`docs` (doc_id, text, any other columns) without the lines of recurring templates.
 
-    counts: adds n_lines and n_dropped, in place of columns of those names."""
+    counts: adds n_lines and n_dropped, in place of columns of those names. lead_counts: the leading tokens, which are alike in
+    a leaf, count in the half that must stay constant, as in the SQL; without, half of the tokens behind them must."""
     who, drop, kept = (fresh(docs, x) for x in ("ld_doc", "ld_drop", "ld_kept"))
-    lost = lines_to_drop(docs, min_docs, lead).select(F.col("ld_doc").alias(who), F.col("ld_drop").alias(drop))
+    lost = lines_to_drop(docs, min_docs, lead, lead_counts).select(F.col("ld_doc").alias(who), F.col("ld_drop").alias(drop))
     d = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(who)), "left")
     pairs = F.arrays_zip(F.split("text", "\n").alias("line"), masked_lines(F.col("text")).alias("norm"))
     left = F.filter(pairs, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(x["norm"])))
