@@ -82,6 +82,45 @@ def fingerprint(text: str | None, words: int, bits: int = 64) -> np.ndarray:
     return np.packbits(2 * sums > n).view(">u8").astype(np.uint64)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, rising."""
+    blocks = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype=np.uint64)
+
+
+def set_fingerprint(shingles: np.ndarray, bits: int) -> bytes:
+    """`bits` / 8 bytes, most significant first: each different shingle counts once, as in the Jaccard similarity."""
+    sums = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        h = shingles[at : at + _CHUNK]
+        for j in range(bits // 64):
+            raw = (_mix(h, j) if j else h).astype(">u8").view(np.uint8).reshape(-1, 8)
+            sums[64 * j : 64 * j + 64] += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > len(shingles)).tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two shingle sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text, key: the set's fingerprint and 16 bytes of a digest of the whole set."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py(), words)
+                keys.append(set_fingerprint(s, bits) + xxhash.xxh3_128_digest(s.tobytes()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["doc_id", "text", "key"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text string, key binary")
+
+
 def fingerprints(docs: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp: `bits` / 8 bytes, most significant first."""
     prepare(docs.sparkSession)
@@ -204,11 +243,12 @@ def _turned(key: str, width: int, at: int) -> F.Column:
     return F.shiftleft(k, at).bitwiseOR(F.shiftrightunsigned(k, width - at)).bitwiseAND(F.lit(keep))
 
 
-def trie_links(keys: DataFrame, width: int, budget: int, verify: int | None = None, crowd: int = CROWD) -> DataFrame:
+def trie_links(keys: DataFrame, width: int, budget: int, verify: tuple[int, int] | None = None, crowd: int = CROWD) -> DataFrame:
     """keys (node, band, key, payload) -> (a, b): spanning links of nodes whose keys of one band differ in at most `budget` bits.
 
-    key: a long with `width` bits at the top. payload: None, or a whole fingerprint; with `verify`, a link also needs
-    payloads that differ in at most that many bits. A node has one key a band; equal keys link like others."""
+    key: a long with `width` bits at the top. payload: None, or a whole fingerprint. With `verify`, (sure, most), links span
+    nodes whose payloads differ in at most `sure` bits; besides, all pairs up to `most` bits that those don't connect
+    come out. A node has one key a band; equal keys link like others."""
     spark = keys.sparkSession
     prepare(spark)
     stretch = width // (budget + 1)
@@ -275,7 +315,7 @@ def _cells(table: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: int | None) -> Iterator[pa.RecordBatch]:
+def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     keys = _column(table, "k").view(np.uint64)
     own, x, y, depth, node = (_column(table, c) for c in ("own", "x", "y", "depth", "node"))
     starts = np.flatnonzero(np.diff(ids, prepend=-1))
@@ -293,8 +333,13 @@ def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: in
     def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if payload is None:
             return np.ones(len(i), dtype=bool)
-        return np.bitwise_count(payload[i] ^ payload[j]).sum(axis=1, dtype=np.int64) <= verify
+        differ = np.bitwise_count(payload[i] ^ payload[j]).sum(axis=1, dtype=np.int64)
+        loose = (differ > verify[0]) & (differ <= verify[1])
+        if loose.any():
+            unsure.append(np.stack([i[loose], j[loose]]))
+        return differ <= verify[0]
 
+    unsure: list[np.ndarray] = []
     groups = Groups(table.num_rows)
     # Nodes of copies are full of links; a few rows compared with all of their node connect most of it.
     first, span = starts[self_pair], (ends - starts)[self_pair]
@@ -310,8 +355,13 @@ def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: in
     for d in np.unique(depth[starts]):
         at = np.flatnonzero(depth[starts] == d)
         walk(keys, int(d), width, budget, (starts[at], hi[at], lo2[at], ends[at], err[at]), close, groups)
-    if groups.links:
-        a, b = (node[np.array(x)] for x in zip(*groups.links, strict=True))
+    links = np.array(groups.links, dtype=np.int64).reshape(-1, 2).T
+    if unsure:
+        more = np.concatenate(unsure, axis=1)
+        links = np.concatenate([links, more[:, groups.label[more[0]] != groups.label[more[1]]]], axis=1)
+    if links.size:
+        links = node[links]
+        a, b = np.unique(np.sort(links, axis=0), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -329,30 +379,61 @@ def near_dup_64(docs: DataFrame, words: int = 3, budget: int = 2, crowd: int = C
 
 
 #: For word shingles of a similarity: bits of a fingerprint, of a band, and differing bits allowed in a band.
-BITS, BAND, BAND_BUDGET = 256, 32, 3
+BITS, BAND, BAND_BUDGET = 256, 32, 4
+#: Standard deviations of the differing bits: below the mean, where links may span a group; above it, where pairs end.
+SURE, MOST = 2.5, 3.0
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Differing bits at which fingerprints show that (Jaccard) similarity: the angle between sets of shingles of one size,
-    as a share of the half turn, and one standard deviation, so that most pairs just above it are found."""
+def differing_bits(similarity: float, bits: int) -> tuple[int, int]:
+    """(sure, most): differing bits that leave little doubt of that (Jaccard) similarity, and those that it hardly ever exceeds.
+
+    The mean is the angle between sets of shingles of one size, as a share of the half turn."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * p + (bits * p * (1 - p)) ** 0.5)
+    mean, sd = bits * p, (bits * p * (1 - p)) ** 0.5
+    return round(mean - SURE * sd), round(mean + MOST * sd)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of `texts` (node, id, text) whose shingle sets have the similarity -> (a, b), as the ids."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_text", "b_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                # Rows come by b.
+                if last[1] is None or last[0] != b:
+                    last = b, shingle_set(b, words)
+                near.append(jaccard(shingle_set(a, words), last[1]) >= similarity)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_dup(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = BAND_CROWD) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, component_id, for texts whose shingles have a similarity, as their SimHash shows it.
+    """docs (doc_id, text) -> doc_id, component_id, for texts whose sets of shingles have a Jaccard similarity.
 
     Fingerprints of BITS bits are cut into bands of BAND bits. The trie finds fingerprints that differ in at most
-    BAND_BUDGET bits of a band, and those link that differ in no more bits in all than the similarity allows. Fingerprints
-    are told apart by their smallest id, those of null ids only by a hash, as a negative number."""
-    fps = materialise(fingerprints(docs, words, BITS), "simhash")
-    members = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.coalesce("id", F.xxhash64("fp").bitwiseOR(F.lit(-(1 << 63))))), "simhash-members")
-    bands = [F.struct(F.lit(j).alias("band"), F.expr(f"shiftleft(cast(conv(substr(hex(fp), {BAND // 4 * j + 1}, {BAND // 4}), 16, 10) as bigint), {64 - BAND})").alias("key")) for j in range(BITS // BAND)]
-    keys = members.select("node", F.col("fp").alias("payload"), F.explode(F.array(*bands)).alias("s")).select("node", F.col("s.band").alias("band"), F.col("s.key").alias("key"), "payload")
-    roots = connected_components(trie_links(keys, BAND, BAND_BUDGET, allowed_bits(similarity, BITS), crowd))
-    groups = smallest_member(members.select("node", "id"), roots).select(F.col("node").alias("its_node"), "smallest")
-    groups = members.select("fp", "node").join(groups, F.col("node") == F.col("its_node")).select(F.col("fp").alias("its_fp"), "smallest")
-    return fps.join(groups, F.col("fp") == F.col("its_fp")).select("doc_id", F.col("smallest").alias("component_id"))
+    BAND_BUDGET bits of a band, and in no more bits in all than the similarity allows; each found pair then links only if
+    the sets themselves have the similarity. Texts of one set are one member. Members are told apart by their smallest
+    id, those of null ids only by a hash, as a negative number."""
+    sets = materialise(_sets(docs, words, BITS), "simhash")
+    negative = F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63)))
+    members = sets.groupBy("key").agg(F.min("doc_id").alias("id")).select("key", F.xxhash64("key").alias("node"), "id", F.coalesce("id", negative).alias("its_id"))
+    members = materialise(members, "simhash-members")
+    bands = [F.struct(F.lit(j).alias("band"), F.expr(f"shiftleft(cast(conv(substr(hex(key), {BAND // 4 * j + 1}, {BAND // 4}), 16, 10) as bigint), {64 - BAND})").alias("k")) for j in range(BITS // BAND)]
+    keys = members.select("node", F.expr(f"substr(key, 1, {BITS // 8})").alias("payload"), F.explode(F.array(*bands)).alias("s")).select("node", F.col("s.band").alias("band"), F.col("s.k").alias("key"), "payload")
+    pairs = materialise(trie_links(keys, BAND, BAND_BUDGET, differing_bits(similarity, BITS), crowd).distinct(), "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = members.join(wanted, "node", "left_semi").select(F.col("key").alias("its_key"), "node", F.col("its_id").alias("id"))
+    # One text stands for all of a set.
+    texts = sets.join(wanted, F.col("key") == F.col("its_key")).groupBy("node", "id").agg(F.first("text").alias("text"))
+    roots = connected_components(_confirmed(pairs, materialise(texts, "simhash-texts"), words, similarity))
+    groups = smallest_member(members.select(F.col("its_id").alias("node"), "id"), roots).select(F.col("node").alias("its_node"), "smallest")
+    groups = members.select("key", "its_id").join(groups, F.col("its_id") == F.col("its_node")).select(F.col("key").alias("its_key"), "smallest")
+    return sets.select("doc_id", "key").join(groups, F.col("key") == F.col("its_key")).select("doc_id", F.col("smallest").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

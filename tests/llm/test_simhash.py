@@ -84,6 +84,24 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(60))
 
 
+def test_pairs_are_confirmed_by_their_shingles(spark):
+    """Pairs just above the similarity go, those below it stay, and so do texts that share only a repeated passage."""
+    rng = random.Random(6)
+    rows, gone, at = [], set(), 0
+    for share in (0.75, 0.77, 0.79, 0.81, 0.83, 0.85):
+        for _ in range(20):
+            w = [f"{x}{rng.randrange(10**6)}" for x in words(rng, 404).split()]
+            n = round(400 * 2 * share / (1 + share))  # shingles that both have, of 400
+            rows += [(at, " ".join(w), "en", "a"), (at + 1, " ".join(w[: n + 4] + [f"{x}new" for x in w[n + 4 :]]), "en", "a")]
+            if n / (800 - n) >= 0.8:
+                gone.add(at + 1)
+            at += 2
+    for i in range(2):
+        rows.append((1000 + i, "all rights reserved here today " * 200 + " ".join(f"own{i}w{k}" for k in range(150)), "en", "a"))
+    kept = {r.doc_id for r in simhash.keep_one(make(spark, rows)).collect()}
+    assert kept == {r[0] for r in rows} - gone
+
+
 def test_dense_cluster(spark):
     """Many copies that differ from one another, in few tasks' cells."""
     rng = random.Random(4)
