@@ -59,14 +59,6 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.ids_sha256) for r in whole) == Counter((r.doc_id, r.ids_sha256) for r in ids)
 
 
-def test_lines_that_share_only_their_start_stay(spark):
-    rng = random.Random(7)
-    ends = ["dark night", "long week", "nice day", "cold lake", "small town"]
-    rows = [(i, f"{words(rng, 12)}\nIt was a {end}\n{words(rng, 12)}", "en", "a") for i, end in enumerate(ends)]
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, make(spark, rows), "").collect()}
-    assert got == {r[0]: r[1] for r in rows}
-
-
 def test_no_documents(spark, tmp_path):
     documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
