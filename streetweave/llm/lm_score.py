@@ -2,23 +2,26 @@
 
 States are contexts (the last words read), arcs are the n-grams seen in training, and every state has a
 failure arc to the state of the shorter context, down to the state without context, which has an arc for
-every word and one for unknown words. With c the training counts, m the weight of the prior, and h' the
-context h without its first word,
+every word. With c the training counts, m the weight of the prior of an order, and h' the context h
+without its first word,
 
     p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m)        p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 so a seen arc weighs log10 of the whole, and the failure arc of h weighs log10(m / (c(h) + m)). A text is
 read once, from left to right: the state is carried along, and an arc, or failure arcs and the arc behind
-them, add their weights.
+them, add their weights. Contexts reach back to the text's start, which counts as one word.
 
-No model is held in one place. Documents are taken in blocks of a bounded size. Each block sends its
-distinct n-grams, as sorted hashes, to the partition of the hash; there counts are summed over all
-blocks, and each block gets back the totals of its own n-grams: the part of the automaton that it can
-walk. Every n-gram of every training text counts, at any size of the corpus; what is sent grows with it
-in proportion, and no task holds more than its block or its share of the n-grams. All exchanged rows are
-packed arrays, and each step is written to the shared folder.
+No model is held in one place. Documents are taken in blocks of a bounded size. A block's distinct n-grams,
+as sorted hashes with counts, are cut into FAN ranges; of each range the runs of at most some FAN blocks are added
+up to one run, which is cut into FAN ranges in turn, until a range has one run: a tree of sums. Totals go
+back down the tree, so that each block gets those of its own n-grams: the part of the automaton that it can
+walk. Rows sent are FAN a block, an order and a level, and levels grow with the logarithm of the corpus; an
+n-gram of all blocks is added up on the way, and no task holds more than FAN runs. Every n-gram of every training
+text counts, at any size of the corpus. From order three on, n-grams stay at home if one of their two
+shorter n-grams occurs in this block alone, since they then do as well.
 
-Words are told apart by 64-bit hashes, n-grams by hashes of these.
+Words are told apart by 64-bit hashes, n-grams by hashes of these. With g different n-grams the chance that
+any two share a hash is g * g / 2 ** 65; two that do would share their counts.
 
 Defined results: a null text is the empty text, which has the end token alone. Null ids are not learned
 from unless `trains` is true for them. With nothing to learn from, every word is unknown. Rows of one id are
@@ -39,9 +42,10 @@ from pyspark.sql import functions as F
 
 from streetweave.llm.common import materialise, prepare
 
-#: Bytes of text in a block, and hashes in a share, about.
-BLOCK, SHARE = 8 << 20, 2 << 20
-ORDER, PRIOR = 2, 500.0
+#: Bytes of text in a block, about; ways of the tree of sums, a power of two; tokens whose arcs are laid out at once.
+BLOCK, FAN, SLICE = 8 << 20, 256, 50_000
+#: The weight of the prior of each order from the second on; the automaton has one order more than weights.
+PRIORS = (500.0, 5.0)
 ADD = 0.1
 END, START = b" ", b"  "  # no word contains white space
 
@@ -101,27 +105,31 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """A block's n-grams: for each order, where they are and what they are."""
+    """A block's n-grams: for each order their hashes, counts (in training, in all texts), first places, and each token's n-gram."""
 
     def __init__(self, row: dict, order: int):
         self.lengths = _unpack(row["lengths"], "<i8")
         self.words = _unpack(row["words"], "<u8")
         self.numbers = _unpack(row["numbers"], "<i4").astype(np.int64)
         self.ids, self.trains = row["ids"], np.array(row["trains"], dtype=bool)
-        ends = np.cumsum(self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         learn = np.repeat(self.trains, self.lengths)
-        at = np.arange(len(self.numbers)) - np.repeat(ends - self.lengths, self.lengths)
-        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, counts in training, index of each token's n-gram
-        previous = self.words[self.numbers]
+        self.at = np.arange(len(self.numbers)) - np.repeat(self.starts, self.lengths)
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        own = previous = self.words[self.numbers]
         for n in range(1, order + 1):
             if n > 1:
-                # The n-gram that ends at a token: its last word after the shorter one that ends at the token before.
-                # Contexts stop at the document's start, which stands as one word.
+                # The n-gram that ends at a token: its last word after the shorter one that ends at the token before. The
+                # document's start stands as one word, so a document's token k has n-grams up to order k + 2.
                 before = np.concatenate([[self.words[0]], previous[:-1]])
-                before = np.where(at == 0, self.words[0], before)
-                previous = _chain(before, self.words[self.numbers])
-            hashes, back = np.unique(previous, return_inverse=True)
-            self.grams.append((hashes, np.bincount(back[learn], minlength=len(hashes)), back))
+                previous = _chain(np.where(self.at == 0, self.words[0], before), own)
+            there = self.at >= n - 2
+            hashes, first, back = np.unique(previous[there], return_index=True, return_inverse=True)
+            places = np.flatnonzero(there)
+            index = np.full(len(own), -1, dtype=np.int64)
+            index[there] = back
+            counts = [np.bincount(x, minlength=len(hashes)) for x in (back[learn[there]], back)]
+            self.grams.append((hashes, np.stack(counts, axis=1), places[first], index))
 
 
 def _chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -132,87 +140,242 @@ def _chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _shares(hashes: np.ndarray, shares: int) -> np.ndarray:
-    """First index of each share in sorted hashes, and their number: shares are equal ranges of hashes."""
-    edges = np.array([(k << 64) // shares for k in range(1, shares)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+RUNS = "node long, n int, prefix long, hashes binary, counts binary"
+TOTALS = "node long, n int, prefix long, totals binary, known long"
 
 
-def _sent(blocks: DataFrame, order: int, shares: int) -> DataFrame:
-    """(share, block, n, hashes, counts) of all blocks."""
+def _planes(b: bytes, width: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, "u1").reshape(width, -1).T).view(kind).ravel()
+
+
+def _packed_run(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    steps = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return _pack(steps), _pack_counts(counts)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    return _pack(np.ascontiguousarray(counts, dtype="<i8").view(np.uint8).reshape(-1, 16).T)
+
+
+def _counts(b: bytes) -> np.ndarray:
+    return _planes(b, 16, "<i8").reshape(-1, 2)
+
+
+def _run(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_planes(hashes, 8, "<u8"), dtype=np.uint64), _counts(counts)
+
+
+def _cut(node: int, n: int, prefix: int, hashes: np.ndarray, counts: np.ndarray, ways: int, depth: int) -> Iterator[tuple]:
+    """Rows of RUNS: a run cut by the digit of its hashes at `depth`, of `ways` values."""
+    bits = (ways - 1).bit_length()
+    digits = hashes >> np.uint64(64 - bits * depth) & np.uint64(ways - 1) if bits else np.zeros(len(hashes), dtype=np.uint64)
+    bounds = np.append(np.flatnonzero(np.diff(digits, prepend=np.uint64(ways))), len(hashes)).tolist()
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        yield (node, n, prefix * ways + int(digits[lo]), *_packed_run(hashes[lo:hi], counts[lo:hi]))
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """A group's runs as one: distinct hashes, sums, where each hash of each run is, and (node, lo, hi) of the runs."""
+    runs = [_run(h, c) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    distinct, back = np.unique(np.concatenate([h for h, _ in runs]), return_inverse=True)
+    counts = np.concatenate([c for _, c in runs])
+    sums = np.stack([np.bincount(back, weights=c, minlength=len(distinct)) for c in counts.T], axis=1).astype(np.int64)
+    ends = np.cumsum([len(h) for h, _ in runs]).tolist()
+    return distinct, sums, back, list(zip(table.column("node").to_pylist(), [0, *ends], ends, strict=False))
+
+
+def _down(table: pa.Table, totals: np.ndarray, back: np.ndarray, places: list, known: int) -> pa.Table:
+    n, prefix = table.column("n")[0].as_py(), table.column("prefix")[0].as_py()
+    rows = [(node, n, prefix, _pack_counts(totals[back[lo:hi]]), known if k == 0 else 0) for k, (node, lo, hi) in enumerate(places)]
+    return _table(rows, TOTALS)
+
+
+def _up(ways: int, depth: int):
+    """A group's runs, added up and cut by the next digit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        distinct, sums, _, _ = _merged(table)
+        node, n, prefix = (table.column(c)[0].as_py() for c in ("parent", "n", "prefix"))
+        return _table(list(_cut(node, n, prefix, distinct, sums, ways, depth)), RUNS)
+
+    return run
+
+
+def add_up(runs: DataFrame, nodes: int, ways: int, name: str) -> DataFrame:
+    """Runs (RUNS) of `nodes` nodes, cut once -> each with its totals over all nodes (TOTALS), in the order of its hashes.
+
+    known: how many n-grams of a prefix have a total above zero, in one row of each. Every step is written."""
+    levels, depth = [], 1
+    while nodes > FAN:
+        nodes = -(-nodes // FAN)
+        runs = runs.withColumn("parent", F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(nodes)))
+        levels.append(runs)
+        depth += 1
+        runs = materialise(runs.groupBy("n", "prefix", "parent").applyInArrow(_up(ways, depth), RUNS), name)
+
+    def top(table: pa.Table) -> pa.Table:
+        _, sums, back, places = _merged(table)
+        return _down(table, sums, back, places, int((sums[:, 0] > 0).sum()))
+
+    totals = materialise(runs.groupBy("n", "prefix").applyInArrow(top, TOTALS), name)
+    for runs in reversed(levels):
+
+        def down(table: pa.Table, above: pa.Table) -> pa.Table:
+            _, _, back, places = _merged(table)
+            at = np.argsort(above.column("prefix").to_numpy()).tolist()
+            packed, known = above.column("totals").to_pylist(), sum(above.column("known").to_pylist())
+            return _down(table, np.concatenate([_counts(packed[i]) for i in at]), back, places, known)
+
+        above = totals.select("node", "n", "prefix", F.expr(f"prefix div {ways}").alias("below"), "totals", "known")
+        totals = runs.groupBy("n", "prefix", "parent").cogroup(above.groupBy("n", "below", "node")).applyInArrow(down, TOTALS)
+        totals = materialise(totals, name)
+    return totals
+
+
+def _totals_of(sums: pa.Table, n: int) -> np.ndarray:
+    """The totals (in training, in all texts) of a block's n-grams of an order, from its rows of TOTALS."""
+    at = [(p, i) for i, (k, p) in enumerate(zip(sums.column("n").to_pylist(), sums.column("prefix").to_pylist(), strict=True)) if k == n]
+    packed = sums.column("totals")
+    return np.concatenate([np.zeros((0, 2), dtype=np.int64), *[_counts(packed[i].as_py()) for _, i in sorted(at)]])
+
+
+def _first_runs(blocks: DataFrame, ways: int) -> DataFrame:
+    """RUNS of the words and pairs of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, order)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for n, (hashes, counts, _) in enumerate(b.grams, 1):
-                    cuts = _shares(hashes, shares)
-                    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if hi > lo:
-                            for x, v in zip(out, (s, row["block"], n, _pack(np.diff(hashes[lo:hi], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), _pack(counts[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4).T)), strict=True):
-                                x.append(v)
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["share", "block", "n", "hashes", "counts"])
+                for n, (hashes, counts, _, _) in enumerate(Block(row, 2).grams, 1):
+                    yield from _table(list(_cut(row["block"], n, 0, hashes, counts, ways, 1)), RUNS).to_batches()
 
-    return blocks.mapInArrow(run, "share int, block long, n int, hashes binary, counts binary")
+    return blocks.mapInArrow(run, RUNS)
 
 
-def _planes(b: bytes, width: int, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(_unpack(b, "u1").reshape(width, -1).T).view(kind).ravel()
+def _abroad(b: Block, n: int, shorter: np.ndarray) -> np.ndarray:
+    """Which n-grams of a block other blocks may have too, given the totals of its shorter ones: those whose shorter ones others have."""
+    _, counts, places, _ = b.grams[n - 1]
+    elsewhere = shorter[:, 1] > b.grams[n - 2][1][:, 1]
+    index = b.grams[n - 2][3]
+    return elsewhere[index[places]] & elsewhere[index[places - 1]]
+
+
+def _all_totals(b: Block, sums: pa.Table, order: int) -> list[np.ndarray]:
+    """The totals (in training, in all texts) of all n-grams of a block up to an order; those that stayed at home have the block's counts."""
+    totals = [_totals_of(sums, n) for n in (1, 2)]
+    for n in range(3, order + 1):
+        here = b.grams[n - 1][1].copy()
+        here[_abroad(b, n, totals[-1])] = _totals_of(sums, n)
+        totals.append(here)
+    return totals
+
+
+def _longer_runs(blocks: DataFrame, totals: DataFrame, n: int, ways: int) -> DataFrame:
+    """RUNS of the n-grams of all blocks that don't stay at home."""
 
+    def run(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for row in rows.to_pylist():
+            b = Block(row, n)
+            go = _abroad(b, n, _all_totals(b, sums, n - 1)[-1])
+            out += _cut(row["block"], n, 0, b.grams[n - 1][0][go], b.grams[n - 1][1][go], ways, 1)
+        return _table(out, RUNS)
 
-def _sum_share(table: pa.Table) -> pa.Table:
-    """The totals of a share's n-grams, for each block in the order of its hashes; with n = 0 the share's distinct training words."""
-    out: tuple[list, ...] = ([], [], [], [])
-    ns = np.array(table.column("n").to_pylist())
-    share = table.column("share")[0].as_py()
-    for n in np.unique(ns).tolist():
-        rows = table.filter(pa.array(ns == n))
-        hashes = [np.cumsum(_planes(h, 8, "<u8"), dtype=np.uint64) for h in rows.column("hashes").to_pylist()]
-        counts = [_planes(c, 4, "<u4") for c in rows.column("counts").to_pylist()]
-        distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(back, weights=np.concatenate(counts), minlength=len(distinct)).astype("<i8")
-        ends = np.cumsum([len(h) for h in hashes])
-        for block, lo, hi in zip(rows.column("block").to_pylist(), [0, *ends], ends, strict=False):
-            for x, v in zip(out, (block, n, share, _pack(totals[back[lo:hi]].view(np.uint8).reshape(-1, 8).T)), strict=True):
-                x.append(v)
-        if n == 1:
-            for x, v in zip(out, (-1, 0, share, np.array([(totals > 0).sum()], dtype="<i8").tobytes()), strict=True):
-                x.append(v)
-    return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "n", "share", "totals"])
+    return blocks.groupBy("block").cogroup(totals.groupBy("node")).applyInArrow(run, RUNS)
 
 
 class Automaton:
-    """The part of the automaton that a block can walk, from the totals of its n-grams."""
+    """The part of the automaton that a block can walk.
 
-    def __init__(self, block: Block, totals: list[np.ndarray], n_train: int, n_words: int, n_docs: int, prior: float):
-        self.block, self.totals = block, totals
+    State 0 has no context, state 1 is the start of a text; then come the block's words, pairs and so on that training has.
+    fail, fail_weight: of each state. For each order: the arcs' states, words, weights and next states, by the block's n-grams."""
+
+    def __init__(self, block: Block, totals: list[np.ndarray], n_train: int, n_words: int, n_docs: int, priors: tuple[float, ...]):
+        self.block = block
+        order = len(totals)
         self.base = np.log10((totals[0] + ADD) / (n_train + ADD * (n_words + 1)))
-        self.prior, self.n_docs = prior, n_docs
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """(base weights, weights) of all tokens of the block, as read from left to right: the state before a token is the n-gram
-        that ends at the token before it, or the start."""
-        b = self.block
-        first = np.zeros(len(b.numbers), dtype=bool)
-        first[(np.cumsum(b.lengths) - b.lengths)] = True
-        base = self.base[b.grams[0][2]]
-        p = 10.0 ** base
-        log_p = base.copy()
-        for n in range(2, len(b.grams) + 1):
-            here = self.totals[n - 1][b.grams[n - 1][2]]
-            state = self.totals[n - 2][b.grams[n - 2][2]]
-            context = np.where(first, self.n_docs, np.concatenate([[0], state[:-1]]))
-            # A state that training never reached has no failure weight: it is not a state, and the shorter one is carried.
-            failure = np.log10(self.prior / (context + self.prior))
-            arc = np.log10((here + self.prior * p) / (context + self.prior))
-            log_p = np.where(here > 0, arc, failure + log_p)
-            p = 10.0**log_p
-        return base, log_p
-
-
-def _scored(prior: float, order: int, n_train: int, n_words: int, n_docs: int):
+        numbers, at = block.numbers, block.at
+        states, counts, fails = 2, [np.array([0, n_docs])], [np.array([0, 0])]
+        weighs = [0.0, priors[0]]
+        of: list[np.ndarray] = []  # the state of each n-gram, as a context
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, order + 1):
+            total, (_, _, places, _) = totals[n - 1], block.grams[n - 1]
+            if n < order:
+                seen = total > 0
+                own = np.where(seen, states + np.cumsum(seen) - 1, 0)
+                states += int(seen.sum())
+                shorter = np.zeros(len(total), dtype=np.int64) if n == 1 else of[n - 2][block.grams[n - 2][3][places]]
+                counts.append(total[seen])
+                fails.append(shorter[seen])
+                weighs += [priors[n - 1]] * int(seen.sum())
+                of.append(own)
+                following = own
+            else:
+                following = of[n - 2][block.grams[n - 2][3][places]]
+            if n == 1:
+                source, weight = np.zeros(len(total), dtype=np.int64), self.base
+            else:
+                first = at[places] == 0
+                context = block.grams[n - 2][3][np.maximum(places - 1, 0)]
+                source = np.where(first, 1, of[n - 2][context])
+                below = self.arcs[n - 2][2][block.grams[n - 2][3][places]]
+                c = np.where(first, n_docs, totals[n - 2][context])
+                with np.errstate(divide="ignore"):
+                    weight = np.log10((total + priors[n - 2] * 10.0**below) / (c + priors[n - 2]))
+            self.arcs.append((source, numbers[places], weight, following))
+        self.totals = totals
+        counts_, m = np.concatenate(counts), np.array(weighs)
+        self.fail = np.concatenate(fails).tolist()
+        self.fail_weight = np.where(m > 0, np.log10(np.where(m > 0, m, 1) / (counts_ + np.where(m > 0, m, 1))), 0.0).tolist()
+
+    def _laid_out(self, lo: int, hi: int) -> tuple[dict[int, tuple[float, int]], int]:
+        """The arcs that tokens lo to hi may take, by state and word."""
+        width = len(self.block.words)
+        out: dict[int, tuple[float, int]] = {}
+        for n, (source, word, weight, following) in enumerate(self.arcs, 1):
+            index = self.block.grams[n - 1][3][lo:hi]
+            some = np.unique(index[index >= 0])
+            if n > 1:
+                some = some[self.totals[n - 1][some] > 0]
+            out.update(zip((source[some] * width + word[some]).tolist(), zip(weight[some].tolist(), following[some].tolist(), strict=True), strict=True))
+        return out, width
+
+    def traverse(self) -> np.ndarray:
+        """The log10 probability of each text, read from left to right with the state carried along."""
+        fail, fail_weight, numbers = self.fail, self.fail_weight, self.block.numbers
+        scores = np.zeros(len(self.block.lengths))
+        ends = (self.block.starts + self.block.lengths).tolist()
+        doc, state, total, at = 0, 1, 0.0, 0
+        while at < len(numbers):
+            upto = min(len(numbers), at + SLICE)
+            arcs, width = self._laid_out(at, upto)
+            while at < upto:
+                # A text that goes on beyond the slice keeps its state.
+                stop = min(ends[doc], upto)
+                for w in numbers[at:stop].tolist():
+                    arc = arcs.get(state * width + w)
+                    while arc is None:
+                        total += fail_weight[state]
+                        state = fail[state]
+                        arc = arcs.get(state * width + w)
+                    total += arc[0]
+                    state = arc[1]
+                at = stop
+                if at == ends[doc]:
+                    scores[doc] = total
+                    doc, state, total = doc + 1, 1, 0.0
+        return scores
+
+
+def _scored(priors: tuple[float, ...], n_train: int, n_words: int, n_docs: int):
+    order = len(priors) + 1
+
     def run(blocks: pa.Table, sums: pa.Table) -> pa.Table:
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -220,30 +383,30 @@ def _scored(prior: float, order: int, n_train: int, n_words: int, n_docs: int):
         if not rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         b = Block(rows[0], order)
-        at = sorted(zip(sums.column("n").to_pylist(), sums.column("share").to_pylist(), range(sums.num_rows), strict=True))
-        packed = sums.column("totals").to_pylist()
-        totals = [np.concatenate([_planes(packed[i], 8, "<i8") for k, _, i in at if k == n]) for n in range(1, order + 1)]
-        base, score = Automaton(b, totals, n_train, n_words, n_docs, prior).traverse()
-        known = (totals[0] > 0)[b.grams[0][2]]
-        starts = np.cumsum(b.lengths) - b.lengths
-        columns = [b.ids, b.lengths, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
+        totals = _all_totals(b, sums, order)
+        a = Automaton(b, [t[:, 0] for t in totals], n_train, n_words, n_docs, priors)
+        known, index = totals[0][:, 0] > 0, b.grams[0][3]
+        columns = [b.ids, b.lengths, np.add.reduceat(known[index].astype(np.int64), b.starts), np.add.reduceat(a.base[index], b.starts), a.traverse()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def score_texts(docs: DataFrame, trains: F.Column, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learned from the rows where `trains` holds."""
+def score_texts(docs: DataFrame, trains: F.Column, priors: tuple[float, ...] = PRIORS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; learned from the rows where `trains` holds.
+
+    priors: the weight of the prior for each order from two on, so one less than the order of the n-grams."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     blocks = materialise(_blocks(rows), "lm-blocks")
-    n = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_train"), F.coalesce(F.sum(F.size(F.filter("trains", lambda x: x))), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.octet_length("numbers")), F.lit(0)).alias("size")).first()
-    # The packed word numbers take some two bytes a token; each order sends about a hash for each.
-    shares = max(1, int(n["size"]) // 2 * order // SHARE)
-    sums = _sent(blocks, order, shares).groupBy("share").applyInArrow(_sum_share, "block long, n int, share int, totals binary")
-    sums = materialise(sums, "lm-sums")
-    n_words = sum(int.from_bytes(r["totals"], "little") for r in sums.where("n = 0").select("totals").collect())
-    run = _scored(prior, order, int(n["n_train"]), n_words, int(n["docs"]))
-    out = blocks.groupBy("block").cogroup(sums.where("n > 0").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    n = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_train"), F.coalesce(F.sum(F.size(F.filter("trains", lambda x: x))), F.lit(0)).alias("docs")).first()
+    # A few blocks need few ranges.
+    ways = min(FAN, 1 << (2 * int(n["blocks"])).bit_length())
+    totals = add_up(_first_runs(blocks, ways), int(n["blocks"]), ways, "lm-sums")
+    n_words = int(totals.where("n = 1").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0])
+    for k in range(3, len(priors) + 2):
+        totals = totals.unionByName(add_up(_longer_runs(blocks, totals, k, ways), int(n["blocks"]), ways, "lm-sums"))
+    run = _scored(tuple(priors), int(n["n_train"]), n_words, int(n["docs"]))
+    out = blocks.groupBy("block").cogroup(totals.groupBy("node")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(n["n_train"])).cast("long"))

@@ -15,8 +15,9 @@ from streetweave.llm import embed_dedup, lm_score
 class Automaton:
     """States are the last words read, each with arcs by word and a failure weight; one state at a time is carried."""
 
-    def __init__(self, texts, order, prior):
-        self.order, self.prior = order, prior
+    def __init__(self, texts, priors):
+        self.order, self.priors = len(priors) + 1, priors
+        order = self.order
         self.counts = [Counter() for _ in range(order + 1)]
         for t in texts:
             w = [lm_score.START] * (order - 1) + lm_score.tokens(t)
@@ -35,7 +36,8 @@ class Automaton:
         if not state:
             return 10 ** self.base(w)
         c = self.docs if state == (lm_score.START,) else self.counts[len(state)][state]
-        return (self.counts[len(state) + 1][(*state, w)] + self.prior * self.p(state[1:], w)) / (c + self.prior)
+        m = self.priors[len(state) - 1]
+        return (self.counts[len(state) + 1][(*state, w)] + m * self.p(state[1:], w)) / (c + m)
 
     def score(self, text):
         state, total = (lm_score.START,), 0.0
@@ -50,15 +52,16 @@ def corpus(n=150):
     return [(i, words(rng, rng.randint(0, 40)).title() if i % 9 else "\tThe\nan  er ", "en", "a") for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [1 << 23, 2000])
-def test_scores(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "fan", "priors"), [(1 << 23, 256, (20.0, 5.0)), (2000, 4, (20.0, 5.0)), (700, 2, (20.0,)), (2000, 4, (20.0, 5.0, 2.0))])
+def test_scores(spark, monkeypatch, block, fan, priors):
     rows = corpus()
     learn = [t for i, t, *_ in rows if i % 10]
-    a = Automaton(learn, 2, 20.0)
+    a = Automaton(learn, priors)
     monkeypatch.setattr(lm_score, "BLOCK", block)
-    monkeypatch.setattr(lm_score, "SHARE", 500)
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    monkeypatch.setattr(lm_score, "SLICE", 100)
     docs = make(spark, rows).repartition(3)
-    got = {r.doc_id: r for r in lm_score.score_texts(docs, F.col("doc_id") % 10 != 0, prior=20.0).collect()}
+    got = {r.doc_id: r for r in lm_score.score_texts(docs, F.col("doc_id") % 10 != 0, priors=priors).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         w, r = lm_score.tokens(t), got[i]
@@ -68,9 +71,26 @@ def test_scores(spark, monkeypatch, block):
         assert r.score == pytest.approx(a.score(t))
 
 
+def test_sent_rows_grow_with_the_corpus(spark, monkeypatch):
+    """At four times the blocks, four times the rows, but for another level of the tree: never the square."""
+    monkeypatch.setattr(lm_score, "BLOCK", 700)
+    monkeypatch.setattr(lm_score, "FAN", 8)
+    sent = []
+    for n in (100, 400):
+        docs = make(spark, [(i, words(random.Random(i), 30), "en", "a") for i in range(n)]).repartition(2).select("doc_id", "text", F.lit(True).alias("trains"))
+        blocks = lm_score._blocks(docs).cache()
+        k = blocks.count()
+        runs = lm_score._first_runs(blocks, 8).cache()
+        assert runs.count() <= k * 8 * 2
+        totals = lm_score.add_up(runs, k, 8, "lm-test")
+        assert totals.count() == runs.count() and totals.where("n = 1").agg(F.sum("known")).first()[0] > 0
+        sent.append((k, runs.count()))
+    assert sent[1][1] <= 1.1 * sent[0][1] * sent[1][0] / sent[0][0]
+
+
 def test_probabilities_sum_to_one(spark):
-    a = Automaton([t for _, t, *_ in corpus()], 2, 20.0)
-    for state in [(), (lm_score.START,), (b"the",), (b"anan",)]:
+    a = Automaton([t for _, t, *_ in corpus()], (20.0, 5.0))
+    for state in [(), (lm_score.START,), (b"the",), (b"anan",), (lm_score.START, b"the"), (b"the", b"an")]:
         total = sum(a.p(state, w) for (w,) in a.counts[1]) + a.p(state, b"never seen")
         assert total == pytest.approx(1)
 
