@@ -100,7 +100,7 @@ best AS (SELECT host, path, max_by(rhost || rpath, length(rhost || rpath) * 1000
 SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path""",
     "op8_mixing": """
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-  (('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
+  (('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM s),
 w AS (SELECT *, CAST((rnk - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM r),
@@ -108,9 +108,17 @@ l AS (SELECT *, row_number() OVER o AS place, (CAST(sum(source_size) OVER () AS
   FROM w WINDOW o AS (ORDER BY cap / weight, rnk), b AS (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT min(place) AS place, arg_min(own_level, place) AS own_level FROM l WHERE cap > weight * own_level),
 t AS (SELECT source, source_size, CASE WHEN f.place IS NULL OR l.place < f.place THEN cap ELSE weight * f.own_level END AS target FROM l CROSS JOIN f),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
-p AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM q),
-c AS (SELECT d.doc_id, d.size, d.u, p.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-e AS (SELECT *, max(CASE WHEN p > 0 AND before + size / 2.0 <= rest THEN u END) OVER (PARTITION BY source) AS edge FROM c)
-SELECT doc_id, size, source_size, target, CAST(size * least(whole + CASE WHEN p > 0 AND rest > 0 AND u <= coalesce(edge, -1) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken FROM e""",
+q AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM t),
+rs AS (SELECT *, target - whole * source_size AS rest FROM q),
+fits AS (SELECT d.source, sum(size) FILTER (size <= rest) AS fits FROM d JOIN rs ON d.source IS NOT DISTINCT FROM rs.source GROUP BY d.source),
+p AS (SELECT rs.*, CASE WHEN fits >= rest THEN rest ELSE 'inf'::DOUBLE END AS largest FROM rs JOIN fits ON rs.source IS NOT DISTINCT FROM fits.source),
+x AS (SELECT *, (size >> greatest(length(bin(size)) - 6, 0)) << greatest(length(bin(size)) - 6, 0) AS x FROM d),
+y AS (SELECT x.source, x, rest, CAST(sum(size) AS DOUBLE) AS part FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND rest > 0 AND size <= largest GROUP BY x.source, x, rest),
+z AS (SELECT source, x, (rest - coalesce(sum(part) OVER (PARTITION BY source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(x * part) OVER (PARTITION BY source ORDER BY x ROWS UNBOUNDED PRECEDING) AS lam FROM y),
+o AS (SELECT source, max(x) AS x_open, arg_max(lam, x) AS lam FROM z WHERE lam * x <= 1 GROUP BY source),
+i AS (SELECT x.doc_id, size, u, x, p.*, CASE WHEN x > x_open THEN 1 ELSE lam * x END AS p FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source LEFT JOIN o ON x.source IS NOT DISTINCT FROM o.source),
+k AS (SELECT *, CASE WHEN size > 0 AND rest > 0 AND size <= largest THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS v FROM i),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k WHERE v IS NOT NULL),
+e AS (SELECT source, max(v) AS edge FROM c WHERE before + size / 2.0 <= rest GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * least(whole + CASE WHEN v <= edge THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken FROM k LEFT JOIN e ON k.source IS NOT DISTINCT FROM e.source""",
 }

@@ -1,6 +1,7 @@
 """Line dedup, URL filter, language ID, mixing and media."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -242,6 +243,52 @@ def test_mixing(spark, edge_docs, no_docs):
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_pareto_ranks(spark, monkeypatch):
+    """Inclusion in proportion to size, ranks by odds over odds, in plain Python; the bins' size changes nothing."""
+    rng = random.Random(16)
+    rows = [(i, words(rng, rng.choice([0, 3, 10, 40, 41, 300])), "en", rng.choice("ab")) for i in range(400)] + [(1000, words(rng, 9000), "en", "a")]
+    docs = make(spark, rows)
+    plan = {r.doc_id: r for r in mixing.plan_mix(docs, weights=(1, 5)).collect()}
+    for source in "ab":
+        mine = [r for r in plan.values() if r.source == source]
+        whole = int(mine[0].target // mine[0].source_size)
+        rest = mine[0].target - whole * mine[0].source_size
+        largest = rest if sum(r.size for r in mine if r.size <= rest) >= rest else math.inf
+        drawn = [r for r in mine if 0 < r.size <= largest]
+        coarse = lambda n: n >> max(n.bit_length() - 6, 0) << max(n.bit_length() - 6, 0)
+        lo, hi = 0.0, 1.0
+        for _ in range(200):  # the factor at which the expected words are what is left
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if sum(min(1, lam * coarse(r.size)) * r.size for r in drawn) < rest else (lo, lam)
+        ranked = []
+        for r in drawn:
+            u = (int(hashlib.md5(f"42:{r.doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            p = min(1.0, lam * coarse(r.size))
+            ranked.append((0.0 if p > 1 - 1e-9 else u / (1 - u) / (p / (1 - p)), r.doc_id, r.size))
+        sums, taken = 0, set()
+        for _, i, n in sorted(ranked):
+            if sums + n / 2 <= rest:
+                taken.add(i)
+            sums += n
+        assert {r.doc_id: r.copies for r in mine} == {r.doc_id: whole + (r.doc_id in taken) for r in mine}
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 150
+        if 0 < len(taken) < len(ranked):
+            share = lambda f: sum(i in taken for _, i, n in ranked if f(n)) / max(1, sum(f(n) for _, _, n in ranked))
+            assert share(lambda n: n >= 300) >= share(lambda n: n <= 10)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 0)
+    assert {r.doc_id: r.copies for r in mixing.plan_mix(docs, weights=(1, 5)).collect()} == {i: r.copies for i, r in plan.items()}
+
+
+def test_many_sources(spark):
+    rows = [(i, "a b c " * (i % 7 + 1), "en", f"s{i % 300}") for i in range(900)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = reshare(sizes)
+    got = {r.source: r.target for r in mixing.plan_mix(make(spark, rows)).collect()}
+    assert got == {s: pytest.approx(t) for s, t in want.items()}
+
+
 def test_mpeg_round_trip():
     rng = random.Random(7)
     for n in (0, 1, 191, 192, 193, 767, 768, 769, 50_000):
