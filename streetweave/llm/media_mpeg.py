@@ -4,7 +4,11 @@ A stream is an ID3v2.3 tag, a Xing frame (frame and byte counts, 100-point seek
 at 48 kHz mono. Each frame has a CRC-16, 17 bytes of silent side information, and its main data
 area holds 1 to 4 payload units of 192 bytes as ancillary data; the bit rate follows the number of
 units, so the stream is of variable bit rate. The reader resynchronises on headers, checks the
-CRCs, and returns exact durations (1152 samples a frame) and the byte offset of every frame.
+CRCs, and returns exact durations (1152 samples a frame) and the byte offset of every frame. A header counts
+only if its frame ends the data or meets another header of the same version, layer and sample rate (what
+follows is then read in the same way), or a trailing tag; the frame count of the table of a variable bit rate, Xing, Info or VBRI, is
+held against the frames found. Only Layer III of MPEG-1 is read: frames of other versions and layers
+are skipped as bytes that belong to no frame.
 
 Defined results: a null text is the empty text, whose payload is one unit of blanks. Equal texts give
 equal bytes, since nothing but the text enters. Repeated rows are stored alike, an empty table gives
@@ -129,6 +133,18 @@ def _header(data: bytes, at: int) -> tuple[int, int, int, bool, int] | None:
     return frame_length(index, RATES[rate], b2 >> 1 & 1), KBPS[index], RATES[rate], not data[at + 1] & 1, SIDE if b3 >> 6 == 3 else 32
 
 
+def _follows(data: bytes, at: int, rate: int) -> bool:
+    """Whether the data end at `at`, or a header of that sample rate or a trailing tag is there."""
+    h = _header(data, at)
+    return at == len(data) or data[at : at + 3] == b"TAG" or (h is not None and h[2] == rate)
+
+
+def _checked(data: bytes, at: int, h: tuple[int, int, int, bool, int]) -> bool:
+    """Whether the frame has a checksum, and it holds."""
+    body = at + 6 + h[4]
+    return h[3] and crc16(data[at + 2 : at + 4] + data[at + 6 : body]) == data[at + 4] << 8 | data[at + 5]
+
+
 def _read_tag(data: bytes, out: Stream) -> int:
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
@@ -146,13 +162,13 @@ def _read_tag(data: bytes, out: Stream) -> int:
 
 
 def decode(data: bytes) -> Stream:
-    """Parse a stream. Bytes that belong to no frame are skipped up to the next header that holds:
-    one whose frame ends the data or is followed by another header."""
+    """Parse a stream. Bytes that belong to no frame are skipped up to the next header that holds: one whose frame ends the data, or
+    is followed by another header of its sample rate. So the last frame before other bytes holds only if its checksum does."""
     out, heads = Stream(), {}
     at, first, parts = _read_tag(data, out), True, []
     while at < len(data):
         h = _header(data, at)
-        if h is None or at + h[0] > len(data) or not (at + h[0] == len(data) or _header(data, at + h[0]) or out.offsets):
+        if h is None or at + h[0] > len(data) or not (_follows(data, at + h[0], h[2]) or _checked(data, at, h)):
             nxt = data.find(b"\xff", at + 1)
             nxt = len(data) if nxt < 0 else nxt
             out.skipped += nxt - at
@@ -173,6 +189,9 @@ def decode(data: bytes) -> Stream:
                 out.vbr_bytes, p = struct.unpack(">I", data[p : p + 4])[0], p + 4
             if flags & 4:
                 out.toc = data[p : p + 100]
+        elif first and data[at + 36 : at + 40] == b"VBRI":
+            # Fixed offset of the format: 32 bytes behind the header, whatever the channels.
+            out.vbr_bytes, out.vbr_frames = struct.unpack(">II", data[at + 46 : at + 54])
         else:
             out.offsets.append(at)
             out.samples += SAMPLES

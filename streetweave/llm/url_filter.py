@@ -6,7 +6,9 @@ vectorised binary search, and compares the stored string, so a digest collision
 
 Defined results: a null URL, an empty one and one without `://` have an empty host and path, fit no
 rule and get the default verdict. Repeated rows are judged alike; an empty table gives an empty
-result; input columns beside `page_id` and `url` are not read. Of rules that fit a URL the longest
+result; input columns beside `page_id` and `url` are not read. Of a very long host only the suffixes that a
+rule's host can equal are looked up, those of at most as many labels as the longest rule's, and of a path the
+prefixes of the rules' lengths: memory grows with the URL's length alone. Of rules that fit a URL the longest
 host + path wins, then the longer host. Two rules with one host and path: the later one holds.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from streetweave.llm.common import LocalView, prepare, scratch, write_shared
 
-MAGIC = b"URLDIG01"
+MAGIC = b"URLDIG02"
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -50,7 +52,8 @@ def write_rules(uri: str, rules: Iterable[tuple[str, str]]) -> None:
     offsets = np.zeros(len(rows) + 1, dtype="<i8")
     offsets[1:] = np.cumsum([len(s) for _, s in rows])
     lengths = np.array(sorted({len(r) - len(_host(r)) for r in kept}), dtype="<i8")
-    head = MAGIC + struct.pack("<qq", len(rows), len(lengths))
+    labels = max((_host(r).count(".") + 1 for r in kept), default=0)
+    head = MAGIC + struct.pack("<qqq", len(rows), len(lengths), labels)
     write_shared(uri, [head, lengths.tobytes(), keys.tobytes(), offsets.tobytes(), b"".join(s for _, s in rows)])
 
 
@@ -65,8 +68,8 @@ class RuleIndex:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         if bytes(raw[:8]) != MAGIC:
             raise ValueError("not a URL digest file")
-        n, m = struct.unpack("<qq", bytes(raw[8:24]))
-        at = 24
+        n, m, self.labels = struct.unpack("<qqq", bytes(raw[8:32]))
+        at = 32
         self.lengths = raw[at : at + 8 * m].view("<i8").tolist()
         at += 8 * m
         self.keys = raw[at : at + 8 * n].view("<u8")
@@ -75,7 +78,8 @@ class RuleIndex:
         self.strings = raw[at + 8 * (n + 1) :]
 
     def candidates(self, host: str, path: str) -> Iterator[str]:
-        """Host suffixes from the whole host down, each with the path's prefixes of the rules' lengths."""
+        """Host suffixes of at most as many labels as a rule's, each with the path's prefixes of the rules' lengths."""
+        host = ".".join(host.rsplit(".", self.labels)[-self.labels :]) if self.labels else ""
         while host:
             for n in self.lengths:
                 if len(path) >= n:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -163,6 +164,16 @@ def test_urls(tmp_path, url, want):
     assert (host, path, rule, verdict or "allow") == want
 
 
+def test_hosts_of_very_many_labels(tmp_path):
+    url_filter.write_rules(str(tmp_path / "rules"), RULES)
+    index = url_filter.RuleIndex(str(tmp_path / "rules"))
+    tracemalloc.start()
+    assert index.judge([("a." * 100_000 + "example.com", "/en/" + "p" * 100_000)]) == [("example.com/en/", "block")]
+    assert index.judge([("." * 100_000 + "com", "/"), ("." * 100_000, "/")]) == [("com/", "allow"), (None, None)]
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
 def test_url_rows_and_collisions(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame([(1, "http://x.com/a", "h", "r"), (1, "http://x.com/a", "h", "r"), (None, None, None, None)], "page_id long, url string, host string, rule string")
     got = Counter(map(tuple, url_filter.filter_urls(pages, RULES).collect()))
@@ -311,6 +322,15 @@ def test_mpeg_faults():
     at = s.offsets[2]
     junk = media_mpeg.decode(media[:at] + b"\xff\xfa\x00 junk \xff" + media[at:])
     assert junk.payload == s.payload and junk.skipped > 0
+    for at in (s.offsets[1], s.offsets[2], len(media)):  # a header that nothing follows, after the first frame too
+        false = media_mpeg.decode(media[:at] + b"\xff\xfa\x64\xc0" + b"junk" * 30 + media[at:])
+        assert false.payload == s.payload and len(false.offsets) == len(s.offsets) == false.vbr_frames and false.crc_errors == 0 and false.skipped == 124
+    tagged = media_mpeg.decode(media + b"TAG" + bytes(125))
+    assert tagged.payload == s.payload and tagged.skipped == 128
+    head = b"\xff\xfb\x64\xc0"  # a frame without checksum, with a VBRI table
+    frame = head + bytes(32) + b"VBRI" + bytes(6) + (480).to_bytes(4, "big") + (1).to_bytes(4, "big")
+    vbri = media_mpeg.decode((frame + bytes(240 - len(frame)) + head + bytes(236)))
+    assert (vbri.vbr_bytes, vbri.vbr_frames, vbri.offsets) == (480, 1, [240])
     assert media_mpeg.decode(b"").offsets == [] and media_mpeg.decode(b"\xff" * 100).offsets == []
     # CRC-16 of the format over known bytes, bit by bit from its polynomial.
     assert media_mpeg.crc16(b"") == 0xFFFF and media_mpeg.crc16(b"123456789") == 0xAEE7
