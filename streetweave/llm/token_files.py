@@ -4,7 +4,8 @@ The documents are range-partitioned by id. Each partition encodes its texts once
 to the shared folder: `.bin`, the ids one after another as little-endian unsigned integers (16 bits
 where the vocabulary allows), and `.idx`, for each document its id, the offset of its first token in
 the partition, and whether the id is null. A manifest holds the partitions in order with their first
-token, the prefix sum of the token counts before. Files get fresh names and count once the manifest
+token, the prefix sum of the token counts before; a row for each PART_BYTES of text is all that the driver
+holds. Files get fresh names and count once the manifest
 names them, so attempts of lost or repeated tasks do no harm.
 
 Defined results: a null text is the empty text, which holds the end id alone. Null ids come first.
@@ -39,6 +40,8 @@ from streetweave.llm.common import LocalView, prepare, scratch, write_shared
 CACHE = 400_000
 #: Bytes of ids after which a task writes them out.
 CHUNK = 8 << 20
+#: Bytes of text in a partition, about, so that a task's work doesn't grow with the corpus.
+PART_BYTES = 256 << 20
 END = "</w>"
 # Fixed value: the pattern by which the tokenizer with word ends splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -106,6 +109,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _partitions(docs: DataFrame) -> int:
+    """One for each PART_BYTES of text, and the session's number of shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(-(-size // PART_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int, where: str | None = None, partitions: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text) into files below `where` (a fresh shared folder by default).
 
@@ -114,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, where: str | None
     spark = docs.sparkSession
     prepare(spark)
     where = where or scratch(spark, "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _partitions(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)

@@ -83,3 +83,12 @@ def test_token_files(spark, edge_docs, edge_rows, no_docs):
     assert {(r.start, r.ids_crc32) for r in again} == {(r.start, r.ids_crc32) for r in got}
     empty = token_files.write_token_files(no_docs, WORD, 2, partitions=2)
     assert empty.count() == 0 and token_files.read_token_files(empty).count() == 0
+
+
+def test_partitions_grow_with_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(50)], "doc_id long, text string")
+    assert token_files._partitions(docs) == 4  # the session's number
+    monkeypatch.setattr(token_files, "PART_BYTES", 5_000)
+    assert token_files._partitions(docs) == 10 and token_files._partitions(docs.union(docs)) == 20
+    got = token_files.read_token_files(token_files.write_token_files(docs, WORD, 2), with_ids=False).collect()
+    assert sorted((r.doc_id, r.start) for r in got) == [(i, 201 * i) for i in range(50)]
