@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from streetweave.llm.common import materialise, prepare
 
 #: Bytes of text in a block, about; ways of the tree of sums, a power of two; tokens whose arcs are laid out at once.
-BLOCK, FAN, SLICE = 8 << 20, 256, 50_000
+BLOCK, FAN, SLICE = 4 << 20, 256, 50_000
 #: The weight of the prior of each order from the second on; the automaton has one order more than weights.
 PRIORS = (500.0, 5.0)
 ADD = 0.1
@@ -124,7 +124,7 @@ class Block:
                 before = np.concatenate([[self.words[0]], previous[:-1]])
                 previous = _chain(np.where(self.at == 0, self.words[0], before), own)
             there = self.at >= n - 2
-            hashes, first, back = np.unique(previous[there], return_index=True, return_inverse=True)
+            hashes, first, back = _distinct(previous[there])
             places = np.flatnonzero(there)
             index = np.full(len(own), -1, dtype=np.int64)
             index[there] = back
@@ -132,6 +132,17 @@ class Block:
             self.grams.append((hashes, np.stack(counts, axis=1), places[first], index))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, rising, a place of each, and the number of each place's value."""
+    order = np.argsort(x)
+    rising = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = rising[1:] != rising[:-1]
+    back = np.empty(len(x), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return rising[new], order[new], back
+
+
 def _chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of an n-gram from that of its first words and its last word's."""
     h = before * np.uint64(0x9E3779B97F4A7C15) + (word ^ word >> np.uint64(29))
@@ -334,38 +345,47 @@ class Automaton:
         self.fail = np.concatenate(fails).tolist()
         self.fail_weight = np.where(m > 0, np.log10(np.where(m > 0, m, 1) / (counts_ + np.where(m > 0, m, 1))), 0.0).tolist()
 
-    def _laid_out(self, lo: int, hi: int) -> tuple[dict[int, tuple[float, int]], int]:
-        """The arcs that tokens lo to hi may take, by state and word."""
-        width = len(self.block.words)
-        out: dict[int, tuple[float, int]] = {}
-        for n, (source, word, weight, following) in enumerate(self.arcs, 1):
+    def _laid_out(self, lo: int, hi: int) -> tuple[dict[int, int], list[float], list[int]]:
+        """The arcs from states other than 0 that tokens lo to hi may take: their numbers by state and word, weights, next states."""
+        width, parts = len(self.block.words), []
+        for n, (source, word, weight, following) in enumerate(self.arcs[1:], 2):
             index = self.block.grams[n - 1][3][lo:hi]
-            some = np.unique(index[index >= 0])
-            if n > 1:
-                some = some[self.totals[n - 1][some] > 0]
-            out.update(zip((source[some] * width + word[some]).tolist(), zip(weight[some].tolist(), following[some].tolist(), strict=True), strict=True))
-        return out, width
+            index = index[index >= 0]
+            index = index[self.totals[n - 1][index] > 0]
+            parts.append((source[index] * width + word[index], weight[index], following[index]))
+        keys, weights, following = (np.concatenate(x).tolist() for x in zip(*parts, strict=True))
+        return dict(zip(keys, range(len(keys)), strict=True)), weights, following
 
     def traverse(self) -> np.ndarray:
         """The log10 probability of each text, read from left to right with the state carried along."""
-        fail, fail_weight, numbers = self.fail, self.fail_weight, self.block.numbers
+        fail, fail_weight, numbers, width = self.fail, self.fail_weight, self.block.numbers, len(self.block.words)
+        # State 0 has an arc for each of the block's words.
+        _, word, weight, following = self.arcs[0]
+        root_weight, root_next = np.zeros(width), np.zeros(width, dtype=np.int64)
+        root_weight[word], root_next[word] = weight, following
+        root_weight, root_next = root_weight.tolist(), root_next.tolist()
         scores = np.zeros(len(self.block.lengths))
         ends = (self.block.starts + self.block.lengths).tolist()
         doc, state, total, at = 0, 1, 0.0, 0
         while at < len(numbers):
             upto = min(len(numbers), at + SLICE)
-            arcs, width = self._laid_out(at, upto)
+            arcs, weights, nexts = self._laid_out(at, upto)
+            find = arcs.get
             while at < upto:
                 # A text that goes on beyond the slice keeps its state.
                 stop = min(ends[doc], upto)
                 for w in numbers[at:stop].tolist():
-                    arc = arcs.get(state * width + w)
-                    while arc is None:
+                    arc = find(state * width + w) if state else None
+                    while arc is None and state:
                         total += fail_weight[state]
                         state = fail[state]
-                        arc = arcs.get(state * width + w)
-                    total += arc[0]
-                    state = arc[1]
+                        arc = find(state * width + w) if state else None
+                    if arc is None:
+                        total += root_weight[w]
+                        state = root_next[w]
+                    else:
+                        total += weights[arc]
+                        state = nexts[arc]
                 at = stop
                 if at == ends[doc]:
                     scores[doc] = total
