@@ -201,6 +201,57 @@ def test_language_accuracy(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(edge_docs, {}).collect()} == {"und"}
 
 
+def brute_grams(text, ranks=langid.RANKS):
+    """The most frequent runs of one to three code points in order, by plain counting."""
+    words_ = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    flat = " " + " ".join(words_) + " "
+    found = Counter(c for c in flat if c != " ")
+    for n in (2, 3):
+        found.update(flat[i : i + n] for i in range(len(flat) - n + 1) if words_)
+    order = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(found, key=lambda g: (-found[g], order(g))), found
+
+
+def test_language_against_brute_force(spark, edge_rows):
+    """Profiles and sums of rank differences in plain Python; languages that tie go by name."""
+    rng = random.Random(13)
+    syllables = {"en": ("the", "an", "er", "ing"), "fr": ("é", "ou", "que", "an"), "zz": ("xk", "qz", "vv", "é")}
+    rows = [(100 + i, words(rng, rng.randint(1, 60), syllables[lang]) + rng.choice(["", " 12!", "\nÉ"]), lang, "a") for i in range(90) for lang in syllables]
+    # Two languages of the same text tie, and n-grams of one count tie by code point.
+    rows += [(1000, "same words here", "b1", "a"), (1001, "same words here", "b0", "a"), (1002, "zyx cba", None, None)]
+    rows = [*rows, *edge_rows]
+    learned = {}
+    for _, t, lang, _ in rows:
+        if lang is not None:
+            learned.setdefault(lang, Counter()).update(brute_grams(t)[1])
+    order = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    profiles = {lang: sorted(c, key=lambda g: (-c[g], order(g)))[: langid.RANKS] for lang, c in learned.items()}
+    rank = {lang: {g: i for i, g in enumerate(p)} for lang, p in profiles.items()}
+    want = Counter()
+    for i, t, *_ in rows:
+        own = brute_grams(t)[0][: langid.RANKS]
+        far = {lang: sum(abs(r[g] - k) if g in r else langid.RANKS for k, g in enumerate(own)) for lang, r in rank.items()}
+        best = min(sorted(far), key=far.get)
+        want[i, best if own else "und", round(1 - far[best] / (langid.RANKS * len(own)), 9) if own else 0.0] += 1
+    docs = make(spark, rows)
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, langid.fit(docs)).collect())
+    assert got == want
+
+
+def test_foreign_texts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    greek = "και το που της στην από για με θα δεν είναι στο αυτό " * 5
+    more = make(spark, [(-1, greek, None, "a"), (-2, "Привет мир", None, "a"), (-3, "".join(rng.choice("bcdfghjklmnpqrstvwxz     ") for _ in range(3000)), None, "a"), (-4, "Ok.", None, "a")]).select(*docs.columns)
+    kept = {r.doc_id: r.lang for r in langid.reject_foreign(docs.unionByName(more), short=64).collect()}
+    assert set(kept) == {r.doc_id for r in docs.collect()} | {-4} and kept[-4] is not None
+    # A language that the model never saw goes.
+    few = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    left = langid.reject_foreign(few).where("doc_id >= 0").select("doc_id").join(docs, "doc_id")
+    long = F.expr("lang = 'de' AND n_chars > 400")
+    assert left.where(long).count() <= 0.05 * docs.where(long).count() and left.where("lang <> 'de'").count() == docs.where("lang <> 'de'").count()
+
+
 def test_blocks_of_a_long_text_count_alike(monkeypatch):
     text = words(random.Random(5), 300) + " 12 ÉÉ--x  y"
     whole = langid.grams(text)
