@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) that works on all rows of `docs`, which are what the stage
 before it kept. All but the last return the columns of documents.
+
+Defined results, as the operators': null, empty and blank texts are in no language and go in the first stage, so later ones don't meet
+them in `run`, but take them as well (lines: kept as they are; near copies: texts without words are copies of one another; mixing: size 0,
+whole copies only; BPE: no tokens). Rows of one id are one document to line dedup and near-dedup; rows of a null id are never
+dropped as copies. Ties go to the smallest id. Very long texts are worked on whole. Empty tables give empty results. Other
+columns pass through, whatever their names, up to BPE, which returns its own.
 """
 
 from __future__ import annotations
@@ -10,16 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetweave.llm import bpe_codec, langid, line_dedup, mixing, simhash
-from streetweave.llm.common import materialise, prepare
+from streetweave.llm.common import discard, materialise, prepare
 from streetweave.llm.queries import TOKENIZERS
 
-#: Score of language ID below which a document goes. Prose of the learned languages scores 0.39 and more.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters, or like none of them, go."""
-    return langid.reject_foreign(docs, LEAST_SCORE)
+    """Documents in a learned language; those without letters, or like none of them, go. A null lang becomes the predicted one."""
+    return langid.reject_foreign(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the stage's input, unless it is the table of documents itself
     return STAGES[-1][1](spark, docs, sf_dir)
