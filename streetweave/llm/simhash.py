@@ -161,7 +161,7 @@ class Groups:
                 x = p
             return x
 
-        for k in first.tolist():
+        for k in np.sort(first).tolist():
             ra, rb = find(int(a[k])), find(int(b[k]))
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
@@ -181,8 +181,8 @@ def walk(keys: np.ndarray, depth: int, width: int, budget: int, pairs: tuple[np.
     """Traverse node pairs of a trie over `keys`, `width` bits at the top of each uint64.
 
     pairs: (lo, hi, lo2, hi2, differing bits) of node pairs at `depth`, as ranges of rows that are sorted within
-    each; the ranges of a pair are equal or disjoint. Keys within the budget for which close(i, j) holds are linked
-    in `groups`; node pairs whose rows are already connected aren't followed. Memory is bounded: long fronts are
+    each; the ranges of a pair are equal or disjoint. Of keys within the budget, those that close(i, j) lists, in that order, are
+    linked in `groups`; node pairs whose rows are already connected aren't followed. Memory is bounded: long fronts are
     walked in slices."""
     bits: dict[int, np.ndarray] = {}
 
@@ -243,19 +243,21 @@ def _turned(key: str, width: int, at: int) -> F.Column:
     return F.shiftleft(k, at).bitwiseOR(F.shiftrightunsigned(k, width - at)).bitwiseAND(F.lit(keep))
 
 
-def trie_links(keys: DataFrame, width: int, budget: int, verify: tuple[int, int] | None = None, crowd: int = CROWD) -> DataFrame:
+def trie_links(keys: DataFrame, width: int, budget: int, most: int | None = None, crowd: int = CROWD, every: bool = False) -> DataFrame:
     """keys (node, band, key, payload) -> (a, b): spanning links of nodes whose keys of one band differ in at most `budget` bits.
 
-    key: a long with `width` bits at the top. payload: None, or a whole fingerprint. With `verify`, (sure, most), links span
-    nodes whose payloads differ in at most `sure` bits; besides, all pairs up to `most` bits that those don't connect
-    come out. A node has one key a band; equal keys link like others."""
+    key: a long with `width` bits at the top. payload: None, or a whole fingerprint; with `most`, linked ones differ in at most so
+    many bits, and the nearest link first. every: `keys` have a label besides, payloads begin with the bands, and all pairs of
+    different labels come out, once each.
+    A node has one key a band; equal keys link like others."""
     spark = keys.sparkSession
     prepare(spark)
+    label = F.col("label") if every else F.lit(None).cast("long").alias("label")
     stretch = width // (budget + 1)
     turns = [F.struct(F.lit(t).alias("turn"), _turned("key", width, t * stretch).alias("k")) for t in range(budget + 1)]
-    rows = keys.select("node", "band", "payload", F.explode(F.array(*turns)).alias("t")).select("node", "payload", (F.col("band") * (budget + 1) + F.col("t.turn")).alias("trie"), F.col("t.k").alias("k"))
+    rows = keys.select("node", "band", "payload", label, F.explode(F.array(*turns)).alias("t")).select("node", "payload", "label", (F.col("band") * (budget + 1) + F.col("t.turn")).alias("trie"), F.col("t.k").alias("k"))
     prefix = F.shiftrightunsigned("k", 64 - stretch)
-    rows = rows.select("node", "payload", "trie", "k", F.lit(stretch).alias("depth"), prefix.alias("own"), prefix.alias("other"))
+    rows = rows.select("node", "payload", "label", "trie", "k", F.lit(stretch).alias("depth"), prefix.alias("own"), prefix.alias("other"))
     cell = ["trie", "depth", "x", "y"]
     done: DataFrame | None = None
     while True:
@@ -265,7 +267,7 @@ def trie_links(keys: DataFrame, width: int, budget: int, verify: tuple[int, int]
         crowded = sizes.where((F.col("n") > crowd) & (F.col("depth") < width) & (F.col("lo") == F.col("x")) & (F.col("hi") == F.col("y")))
         crowded = materialise(crowded.select(*cell), "trie-crowded")
         some = not crowded.isEmpty()
-        part = (rows.join(crowded, cell, "left_anti") if some else rows).select(*cell, "own", "k", "node", "payload")
+        part = (rows.join(crowded, cell, "left_anti") if some else rows).select(*cell, "own", "k", "node", "payload", "label")
         done = part if done is None else done.unionByName(part)
         if not some:
             break
@@ -278,7 +280,7 @@ def trie_links(keys: DataFrame, width: int, budget: int, verify: tuple[int, int]
         low = F.expr("shiftleft(1L, step) - 1")
         big = big.where((F.col("mask") <= low) & (F.bit_count(F.col("mask")) + F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= budget))
         other = F.expr("shiftleft(other, step)").bitwiseOR(F.col("down").bitwiseAND(low).bitwiseXOR(F.col("mask").cast("long")))
-        rows = materialise(big.select("node", "payload", "trie", "k", (F.col("depth") + F.col("step")).cast("int").alias("depth"), F.col("down").alias("own"), other.alias("other")), "trie-rows")
+        rows = materialise(big.select("node", "payload", "label", "trie", "k", (F.col("depth") + F.col("step")).cast("int").alias("depth"), F.col("down").alias("own"), other.alias("other")), "trie-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -292,12 +294,12 @@ def trie_links(keys: DataFrame, width: int, budget: int, verify: tuple[int, int]
                 ids = _cells(table)
                 cut = int(np.searchsorted(ids, ids[-1]))
                 if cut:
-                    yield from _links(table.slice(0, cut), ids[:cut], width, budget, verify)
+                    yield from _links(table.slice(0, cut), ids[:cut], width, budget, most, every)
                 held = table.slice(cut).combine_chunks().to_batches()
                 n = min(table.num_rows - cut, HELD // 2)
         if held:
             table = pa.Table.from_batches(held)
-            yield from _links(table, _cells(table), width, budget, verify)
+            yield from _links(table, _cells(table), width, budget, most, every)
 
     return done.repartition(*cell).sortWithinPartitions(*cell, "own", F.col("k").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(run, "a long, b long")
 
@@ -315,9 +317,20 @@ def _cells(table: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+def _first_trie(payload: np.ndarray, i: np.ndarray, j: np.ndarray, width: int, budget: int) -> np.ndarray:
+    """The first of the tries in which pairs meet, from payloads that begin with the bands: a pair comes out there only."""
+    bands = np.ascontiguousarray(payload[:, : BITS // 64]).view(np.uint8).reshape(len(payload), -1, width // 8)
+    differ = bands[i] ^ bands[j]
+    band = (np.bitwise_count(differ).sum(axis=2) <= budget).argmax(axis=1)
+    bits = np.unpackbits(differ[np.arange(len(i)), band], axis=1)
+    stretch = width // (budget + 1)
+    turn = (~bits[:, : stretch * (budget + 1)].reshape(len(i), budget + 1, stretch).any(axis=2)).argmax(axis=1)
+    return band * (budget + 1) + turn
+
+
+def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, most: int | None, every: bool) -> Iterator[pa.RecordBatch]:
     keys = _column(table, "k").view(np.uint64)
-    own, x, y, depth, node = (_column(table, c) for c in ("own", "x", "y", "depth", "node"))
+    own, x, y, depth, node, trie = (_column(table, c) for c in ("own", "x", "y", "depth", "node", "trie"))
     starts = np.flatnonzero(np.diff(ids, prepend=-1))
     ends = np.append(starts[1:], len(ids))
     # Rows of a pair are sorted by their own node: those of x, then those of y.
@@ -327,23 +340,28 @@ def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: tu
     err = np.bitwise_count((x[starts] ^ y[starts]).view(np.uint64)).astype(np.int64)
     lo2, hi = np.where(self_pair, starts, split), np.where(self_pair, ends, split)
     payload = None
-    if verify is not None:
+    if most is not None:
         payload = np.frombuffer(b"".join(table.column("payload").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
 
     def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if payload is None:
-            return np.ones(len(i), dtype=bool)
+            return np.arange(len(i))
         differ = np.bitwise_count(payload[i] ^ payload[j]).sum(axis=1, dtype=np.int64)
-        loose = (differ > verify[0]) & (differ <= verify[1])
-        if loose.any():
-            unsure.append(np.stack([i[loose], j[loose]]))
-        return differ <= verify[0]
-
-    unsure: list[np.ndarray] = []
+        near = np.argsort(differ, kind="stable")[: int((differ <= most).sum())]
+        if not every:
+            return near
+        found = _first_trie(payload, i[near], j[near], width, budget) == trie[i[near]]
+        pairs.append(np.sort(node[np.stack([i[near], j[near]])[:, found]], axis=0))
+        return near[:0]
+
+    pairs: list[np.ndarray] = []
     groups = Groups(table.num_rows)
+    if every:
+        _, first_of, at_label = np.unique(_column(table, "label"), return_index=True, return_inverse=True)
+        groups.label = first_of[at_label]
     # Nodes of copies are full of links; a few rows compared with all of their node connect most of it.
     first, span = starts[self_pair], (ends - starts)[self_pair]
-    for _ in range(ROUNDS):
+    for _ in range(0 if every else ROUNDS):
         loose = np.bincount(groups.label, minlength=len(ids))[groups.label] == 1
         pivots = np.array([s + int(np.argmax(loose[s : s + n])) for s, n in zip(first[span > 2].tolist(), span[span > 2].tolist(), strict=True)], dtype=np.int64)
         n = span[span > 2]
@@ -355,12 +373,8 @@ def _links(table: pa.Table, ids: np.ndarray, width: int, budget: int, verify: tu
     for d in np.unique(depth[starts]):
         at = np.flatnonzero(depth[starts] == d)
         walk(keys, int(d), width, budget, (starts[at], hi[at], lo2[at], ends[at], err[at]), close, groups)
-    links = np.array(groups.links, dtype=np.int64).reshape(-1, 2).T
-    if unsure:
-        more = np.concatenate(unsure, axis=1)
-        links = np.concatenate([links, more[:, groups.label[more[0]] != groups.label[more[1]]]], axis=1)
+    links = np.concatenate([np.zeros((2, 0), dtype=np.int64), *pairs] if every else [node[np.array(groups.links, dtype=np.int64).reshape(-1, 2).T]], axis=1)
     if links.size:
-        links = node[links]
         a, b = np.unique(np.sort(links, axis=0), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -380,23 +394,35 @@ def near_dup_64(docs: DataFrame, words: int = 3, budget: int = 2, crowd: int = C
 
 #: For word shingles of a similarity: bits of a fingerprint, of a band, and differing bits allowed in a band.
 BITS, BAND, BAND_BUDGET = 256, 32, 4
-#: Standard deviations of the differing bits: below the mean, where links may span a group; above it, where pairs end.
-SURE, MOST = 2.5, 3.0
+#: Bits of the fingerprints by which the second walk lists pairs, of the few groups that are left open.
+WIDE = 2048
+#: Standard deviations of the differing bits above the mean, where pairs end.
+MOST = 3.0
 
 
-def differing_bits(similarity: float, bits: int) -> tuple[int, int]:
-    """(sure, most): differing bits that leave little doubt of that (Jaccard) similarity, and those that it hardly ever exceeds.
+def differing_bits(similarity: float, bits: int) -> int:
+    """Differing bits that sets of that (Jaccard) similarity hardly ever exceed.
 
     The mean is the angle between sets of shingles of one size, as a share of the half turn."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    mean, sd = bits * p, (bits * p * (1 - p)) ** 0.5
-    return round(mean - SURE * sd), round(mean + MOST * sd)
+    return round(bits * p + MOST * (bits * p * (1 - p)) ** 0.5)
+
+
+def _wide(texts: DataFrame, words: int) -> DataFrame:
+    """texts (node, text, label) -> node, label, payload: the set's fingerprint of WIDE bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [set_fingerprint(shingle_set(t.as_py(), words), WIDE) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], names=["node", "label", "payload"])
+
+    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, payload binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """pairs (a, b) of `texts` (node, id, text) whose shingle sets have the similarity -> (a, b), as the ids."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_text", "b_text")
+    """The pairs (a, b) of `texts` (node, text) whose shingle sets have the similarity."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -416,23 +442,37 @@ def near_dup(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: in
     """docs (doc_id, text) -> doc_id, component_id, for texts whose sets of shingles have a Jaccard similarity.
 
     Fingerprints of BITS bits are cut into bands of BAND bits. The trie finds fingerprints that differ in at most
-    BAND_BUDGET bits of a band, and in no more bits in all than the similarity allows; each found pair then links only if
-    the sets themselves have the similarity. Texts of one set are one member. Members are told apart by their smallest
-    id, those of null ids only by a hash, as a negative number."""
+    BAND_BUDGET bits of a band, and in no more bits in all than the similarity allows. Links that span these pairs, the nearest
+    first, are confirmed by the sets' similarity itself. Where one isn't, and its ends stay apart, a second walk lists all pairs between
+    the groups so left open, within the similarity by fingerprints of WIDE bits, and these are confirmed in turn: no found pair is lost, and a group of copies never comes out as all its
+    pairs. Texts of one set are one member, and members of one smallest id are linked; component_id is null where all ids are."""
     sets = materialise(_sets(docs, words, BITS), "simhash")
-    negative = F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63)))
-    members = sets.groupBy("key").agg(F.min("doc_id").alias("id")).select("key", F.xxhash64("key").alias("node"), "id", F.coalesce("id", negative).alias("its_id"))
+    members = sets.groupBy("key").agg(F.min("doc_id").alias("id")).select("key", F.xxhash64("key").alias("node"), "id")
     members = materialise(members, "simhash-members")
     bands = [F.struct(F.lit(j).alias("band"), F.expr(f"shiftleft(cast(conv(substr(hex(key), {BAND // 4 * j + 1}, {BAND // 4}), 16, 10) as bigint), {64 - BAND})").alias("k")) for j in range(BITS // BAND)]
     keys = members.select("node", F.expr(f"substr(key, 1, {BITS // 8})").alias("payload"), F.explode(F.array(*bands)).alias("s")).select("node", F.col("s.band").alias("band"), F.col("s.k").alias("key"), "payload")
-    pairs = materialise(trie_links(keys, BAND, BAND_BUDGET, differing_bits(similarity, BITS), crowd).distinct(), "simhash-pairs")
+    most = differing_bits(similarity, BITS)
+    pairs = materialise(trie_links(keys, BAND, BAND_BUDGET, most, crowd).distinct(), "simhash-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = members.join(wanted, "node", "left_semi").select(F.col("key").alias("its_key"), "node", F.col("its_id").alias("id"))
+    wanted = members.join(wanted, "node", "left_semi").select(F.col("key").alias("its_key"), "node")
     # One text stands for all of a set.
-    texts = sets.join(wanted, F.col("key") == F.col("its_key")).groupBy("node", "id").agg(F.first("text").alias("text"))
-    roots = connected_components(_confirmed(pairs, materialise(texts, "simhash-texts"), words, similarity))
-    groups = smallest_member(members.select(F.col("its_id").alias("node"), "id"), roots).select(F.col("node").alias("its_node"), "smallest")
-    groups = members.select("key", "its_id").join(groups, F.col("its_id") == F.col("its_node")).select(F.col("key").alias("its_key"), "smallest")
+    texts = materialise(sets.join(wanted, F.col("key") == F.col("its_key")).groupBy("node").agg(F.first("text").alias("text")), "simhash-texts")
+    same = members.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("id IS NOT NULL AND n > 1").select(F.col("id").alias("its_id"), "a")
+    same = members.join(same, F.col("id") == F.col("its_id")).select("a", F.col("node").alias("b"))
+    links = materialise(_confirmed(pairs, texts, words, similarity).union(same), "simhash-links")
+    roots = materialise(connected_components(links), "simhash-roots")
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+    open_ = materialise(apart.select(F.col("a_root").alias("label")).union(apart.select("b_root")).distinct(), "simhash-open")
+    if not open_.isEmpty():
+        labels = members.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")).join(open_, "label", "left_semi")
+        wide = materialise(_wide(texts.join(labels, "node"), words), "simhash-wide")
+        more = trie_links(keys.drop("payload").join(wide, "node"), BAND, BAND_BUDGET, differing_bits(similarity, WIDE), crowd, every=True)
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "simhash-more")
+        links = links.union(_confirmed(more, texts, words, similarity))
+        roots = connected_components(links)
+    groups = smallest_member(members.select("node", "id"), roots).select(F.col("node").alias("its_node"), "smallest")
+    groups = members.select("key", "node").join(groups, F.col("node") == F.col("its_node")).select(F.col("key").alias("its_key"), "smallest")
     return sets.select("doc_id", "key").join(groups, F.col("key") == F.col("its_key")).select("doc_id", F.col("smallest").alias("component_id"))
 
 

@@ -147,3 +147,39 @@ def test_components(spark):
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     assert set(got) == nodes
     assert len({(find(x), got[x]) for x in nodes}) == len({find(x) for x in nodes}) == len({got[x] for x in nodes})
+
+
+def test_no_pair_is_lost_in_groups_of_loose_copies(spark):
+    """Variants of a text that are near it, but mostly not near each other, and chains: components are those of all pairs."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(3):
+        base = words(rng, 150).split()
+        for k in range(40):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"changed{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(w)))
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    want = {rows[k][0]: rows[x][0] for k, x in enumerate(label)}
+    got = {r.doc_id: r.component_id for r in simhash.near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 3 < len(set(want.values())) < len(rows)
+
+
+def test_pairs_come_out_once():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    b = a ^ np.packbits(rng.random((300, 256)) < 0.08, axis=1)
+    payload = np.concatenate([a, b]).view(np.uint64)
+    i, j = np.arange(300), np.arange(300, 600)
+    first = simhash._first_trie(payload, i, j, 32, 4)
+    for k in range(300):
+        bits = np.unpackbits(a[k] ^ b[k]).reshape(8, 32)
+        meets = [t * 5 + u for t in range(8) if bits[t].sum() <= 4 for u in range(5) if not bits[t, 6 * u : 6 * u + 6].any()]
+        assert not meets or first[k] == meets[0]
