@@ -33,7 +33,8 @@ def stretch(df: DataFrame, value: str, out: str, vmin: float | None = None, vmax
     k = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.size(F.filter(b, lambda x: x <= F.col("_v"))) - 1))
     lo, hi = F.get(b, k), F.get(b, k + 1)
     inside = F.when(hi > lo, (F.col("_v") - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return d.withColumn(out, F.when(F.col("_v").isNotNull(), F.least(F.lit(1.0), (k + inside) / parts))).drop("_breaks", "_v")
+    # Values and breaks may come from two evaluations of a sum, whose last digits differ; so a value can lie just outside the breaks.
+    return d.withColumn(out, F.when(F.col("_v").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k + inside) / parts)))).drop("_breaks", "_v")
 
 
 def color_ramp(df: DataFrame, value: str, out: str = "color", palette: str | Sequence[tuple[int, int, int]] = "viridis", vmin: float | None = None, vmax: float | None = None, distribution: str = "decile") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetweave.functions import geometry as G
-from streetweave.runtime import number_rows
+from streetweave.runtime import cut, number_rows
 
 
 def with_ids(df: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
@@ -17,9 +17,11 @@ def with_ids(df: DataFrame, name: str, order: list[Column] | None = None) -> Dat
     return df if name in df.columns else number_rows(df, order or [F.col(c) for c in df.columns], name)
 
 
-def build_graph(lines: DataFrame, digits: int = 3, len_col: str | None = None, len_r_col: str | None = None, weight_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def build_graph(lines: DataFrame, digits: int = 3, len_col: str | None = None, len_r_col: str | None = None, weight_col: str | None = None, tolerance: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of lines (edge_id, geom, ...): ends that agree in `digits` decimals are one node, numbered as first
-    seen, in the order of edge_id, start before end. Lengths are geometric unless columns are named; len_r is len unless named."""
+    seen, in the order of edge_id, start before end. Lengths are geometric unless columns are named; len_r is len unless named.
+
+    tolerance: ends within that distance of one another, also through others, are one node instead, at its first end."""
     g = F.col("geom")
     length = F.col(len_col) if len_col else G.length(g)
     e = lines.select(
@@ -31,6 +33,13 @@ def build_graph(lines: DataFrame, digits: int = 3, len_col: str | None = None, l
         _key(F.get(g, F.lit(0)), digits).alias("a"),
         _key(F.element_at(g, -1), digits).alias("b"),
     )
+    if tolerance is not None:
+        # An end takes the place of the first end of its group, which all ends of the group then share.
+        group = cut(snap_ends(lines.select("edge_id", "geom"), tolerance))
+        own = e.select("edge_id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("geom")[0].alias("p")), F.struct(F.lit(1).alias("end"), F.element_at("geom", -1).alias("p")))).alias("s")).select("edge_id", "s.end", "s.p")
+        place = own.select((F.col("edge_id") * 2 + F.col("end")).alias("group"), F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("at"))
+        at_end = lambda end, name: group.where(F.col("end") == end).join(place, "group").select("edge_id", F.col("at").alias(name))
+        e = e.drop("a", "b").join(at_end(0, "a"), "edge_id").join(at_end(1, "b"), "edge_id")
     ends = e.select(F.explode(F.array(F.struct("a", F.col("edge_id"), F.lit(0).alias("end")), F.struct(F.col("b").alias("a"), F.col("edge_id"), F.lit(1).alias("end")))).alias("s"))
     first = ends.groupBy(F.col("s.a").alias("key")).agg(F.min(F.struct("s.edge_id", "s.end")).alias("seen"))
     nodes = number_rows(first.select("key", "seen"), [F.col("seen.edge_id"), F.col("seen.end")], "node_id")
@@ -48,8 +57,6 @@ def snap_ends(lines: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """(edge_id, end, group): ends within `tolerance` of one another, also through others, have the smallest (edge_id, end) as group.
 
     Ends meet in grid cells of the tolerance's size; labels spread until they stay."""
-    from streetweave.runtime import cut
-
     g = F.col("geom")
     ends = lines.select(F.explode(F.array(F.struct((F.col("edge_id") * 2).alias("p"), F.get(g, F.lit(0)).alias("at")), F.struct((F.col("edge_id") * 2 + 1).alias("p"), F.element_at(g, -1).alias("at")))).alias("e")).select("e.p", "e.at.x", "e.at.y")
     cell = ends.select("*", F.floor(F.col("x") / tolerance).alias("cx"), F.floor(F.col("y") / tolerance).alias("cy"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetweave.operators.distance import MAX_ROUNDS, od_distances
+from streetweave.operators.distance import MAX_ROUNDS, bounded_labels, od_distances
 from streetweave.runtime import cut, maybe_broadcast
 
 EPS = 1 + 1e-9
@@ -53,3 +53,38 @@ def enumerate_paths(arcs: DataFrame, labels: DataFrame, origins: DataFrame, dest
         w = Window.partitionBy("o", "d").orderBy("length", "edges")
         done = done.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= path_limit).drop("_k")
     return done
+
+
+def enumerate_node_paths(arcs: DataFrame, pairs: DataFrame, limit: float, detour: float = 1.1, path_limit: int | None = None, max_open: int = 200_000_000) -> DataFrame:
+    """pairs (src, dst) -> (src, dst, length, edges): all routes that use no edge twice, end where they first meet dst and are at most
+    detour times the shortest one long; none if that is beyond `limit`. A node's route to itself has length 0 and no edges.
+
+    Distances to all destinations come from one expansion against the arcs; routes then grow from src and keep to what can still arrive."""
+    wanted = cut(pairs.select("src", "dst").distinct())
+    goals = wanted.select(F.col("dst").alias("o"), F.col("dst").alias("node"), F.lit(0.0).alias("dist")).distinct()
+    left = cut(bounded_labels(arcs, goals, limit * detour * EPS, reverse=True).select(F.col("o").alias("dst"), "node", F.col("dist").alias("left")))
+    out = maybe_broadcast(cut(arcs.select(F.col("src").alias("node"), F.col("dst").alias("to"), "edge_id", "cost")))
+    best = left.withColumnRenamed("node", "src").where(F.col("left") <= limit)
+    start = wanted.join(best, ["src", "dst"]).select("src", "dst", (F.col("left") * detour * EPS).alias("lim"), F.col("src").alias("node"), F.lit(0.0).alias("len"), F.array().cast("array<bigint>").alias("edges"))
+    start = cut(start)
+    done = start.where("node = dst").select("src", "dst", F.col("len").alias("length"), "edges")
+    open_ = start.where("node <> dst")
+    for k in range(MAX_ROUNDS):
+        n = open_.count()
+        if n == 0:
+            break
+        if n > max_open:
+            raise RuntimeError(f"{n} routes are open; lower the limit or the detour ratio, or raise max_open")
+        step = open_.join(out, "node").where(~F.array_contains("edges", F.col("edge_id").cast("long")))
+        step = step.select("src", "dst", "lim", F.col("to").alias("node"), (F.col("len") + F.col("cost")).alias("len"), F.concat("edges", F.array(F.col("edge_id").cast("long"))).alias("edges"))
+        step = cut(step.join(left, ["dst", "node"]).where(F.col("len") + F.col("left") <= F.col("lim")).drop("left"))
+        done = done.unionByName(step.where("node = dst").select("src", "dst", F.col("len").alias("length"), "edges"))
+        if k % 16 == 15:
+            done = cut(done)
+        open_ = step.where("node <> dst")
+    else:
+        raise RuntimeError("routes have more edges than MAX_ROUNDS")
+    if path_limit is not None:
+        w = Window.partitionBy("src", "dst").orderBy("length", "edges")
+        done = done.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= path_limit).drop("_k")
+    return done

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetweave.functions import geometry as G
 from streetweave.operators.build import with_ids
+from streetweave.runtime import cut
 
 
 def explode_multilines(df: DataFrame, parts: str = "parts") -> DataFrame:
@@ -68,15 +69,7 @@ def intersections(lines: DataFrame, cell: float = 100.0, eps: float = 1e-6) -> D
 
     Segments meet in grid cells; parallel segments have no single point and give none."""
     s = segment_rows(lines)
-    boxed = s.select("*", F.explode(G.cells(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), cell)).alias("c")).select(*s.columns, "c.cx", "c.cy")
-    other = boxed.select("cx", "cy", *[F.col(x).alias(f"o_{x}") for x in ("edge_id", "ax", "ay", "bx", "by")])
-    pairs = boxed.join(other, ["cx", "cy"]).where("edge_id <> o_edge_id")
-    rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    sx, sy = F.col("o_bx") - F.col("o_ax"), F.col("o_by") - F.col("o_ay")
-    qx, qy = F.col("o_ax") - F.col("ax"), F.col("o_ay") - F.col("ay")
-    det = rx * sy - ry * sx
-    hit = pairs.where(F.abs(det) > 1e-12).select("edge_id", "at", "len", ((qx * sy - qy * sx) / det).alias("t"), ((qx * ry - qy * rx) / det).alias("u"))
-    hit = hit.where((F.col("t") >= -eps) & (F.col("t") <= 1 + eps) & (F.col("u") >= -eps) & (F.col("u") <= 1 + eps))
+    hit = crossings(s, s.withColumnRenamed("edge_id", "other_id"), "edge_id", "other_id", cell, eps).where("edge_id <> other_id")
     total = s.groupBy("edge_id").agg(F.sum("len").alias("total"))
     hit = hit.select("edge_id", (F.col("at") + F.col("t") * F.col("len")).alias("at")).join(total, "edge_id")
     return hit.where((F.col("at") > 1e-3) & (F.col("at") < F.col("total") - 1e-3)).select("edge_id", F.round("at", 3).alias("at")).distinct()
@@ -119,11 +112,39 @@ def split_lines(lines: DataFrame, points: DataFrame, tolerance: float = 1e-3) ->
     return d.withColumn("geom", G.sub_line(F.col("geom"), F.get("_stops", F.col("piece")), F.get("_stops", F.col("piece") + 1))).drop("_cuts", "_len", "_stops")
 
 
-def touch_points(a: DataFrame, b: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(a_id, b_id, x, y): ends of the lines of `b` within `tolerance` of lines of `a`."""
+def touch_points(a: DataFrame, b: DataFrame, tolerance: float = 1e-3, cell: float = 100.0) -> DataFrame:
+    """(a_id, b_id, x, y): ends of the lines of `b` within `tolerance` of lines of `a`, and the points where lines of both cross, unless
+    the same two lines have such an end within `tolerance` of the point. Places are rounded to `tolerance`'s decimals only to tell
+    crossings at a bend of a line from one another; parallel segments have no single point and give none."""
     ends = b.select(F.col("edge_id").alias("b_id"), F.explode(F.array(F.get("geom", F.lit(0)), F.element_at("geom", -1))).alias("p")).select("b_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     near = nearby_segments(ends, segment_rows(a), tolerance)
-    return near.where(F.col("dist") <= tolerance).groupBy(F.col("edge_id").alias("a_id"), "b_id", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.min("dist").alias("_d")).drop("_d")
+    touching = cut(near.where(F.col("dist") <= tolerance).select(F.col("edge_id").alias("a_id"), "b_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+    hit = crossings(segment_rows(a).withColumnRenamed("edge_id", "a_id"), segment_rows(b).withColumnRenamed("edge_id", "b_id"), "a_id", "b_id", cell)
+    x, y = F.col("ax") + F.col("t") * (F.col("bx") - F.col("ax")), F.col("ay") + F.col("t") * (F.col("by") - F.col("ay"))
+    hit = hit.select("a_id", "b_id", x.alias("x"), y.alias("y"))
+    one = hit.groupBy("a_id", "b_id", F.round(F.col("x") / tolerance), F.round(F.col("y") / tolerance)).agg(F.min(F.struct("x", "y")).alias("p")).select("a_id", "b_id", "p.x", "p.y")
+    known = touching.select("a_id", "b_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    new = one.join(known, (one["a_id"] == known["a_id"]) & (one["b_id"] == known["b_id"]) & (G.euclid("x", "y", "tx", "ty") <= tolerance), "left_anti")
+    return touching.unionByName(new)
+
+
+def crossings(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float = 100.0, eps: float = 1e-6) -> DataFrame:
+    """(a_id, b_id, seg's ends of a, at, len, t): pairs of segments (segment_rows under their own id columns) that meet, t along the one of `a`.
+
+    Segments meet in grid cells; a pair that shares several cells has a row for each, alike, for the caller to make distinct."""
+
+    def boxed(s: DataFrame) -> DataFrame:
+        box = G.cells(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), cell)
+        return s.select("*", F.explode(box).alias("c")).select(*s.columns, "c.cx", "c.cy")
+
+    other = boxed(b).select("cx", "cy", b_id, *[F.col(x).alias(f"o_{x}") for x in ("ax", "ay", "bx", "by")])
+    rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    sx, sy = F.col("o_bx") - F.col("o_ax"), F.col("o_by") - F.col("o_ay")
+    qx, qy = F.col("o_ax") - F.col("ax"), F.col("o_ay") - F.col("ay")
+    d = boxed(a).join(other, ["cx", "cy"]).withColumn("det", rx * sy - ry * sx).where(F.abs("det") > 1e-12)
+    d = d.withColumn("t", (qx * sy - qy * sx) / F.col("det")).withColumn("u", (qx * ry - qy * rx) / F.col("det"))
+    d = d.where(F.col("t").between(-eps, 1 + eps) & F.col("u").between(-eps, 1 + eps))
+    return d.select(a_id, b_id, "ax", "ay", "bx", "by", "at", "len", "t")
 
 
 def nearby_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:

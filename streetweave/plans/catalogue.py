@@ -13,8 +13,8 @@ from streetweave.functions.timeprofile import hour_weights, spread_hours
 from streetweave.operators import build, distance, metrics, prepare, service, snap
 from streetweave.plans.network import SpatialNetwork
 from streetweave.plans.options import BetweennessBatchOptions, BetweennessOptions, ReachBatchOptions, ReachOptions, StraightnessOptions
-from streetweave.runtime import cut
-from streetweave.sources import derived
+from streetweave.runtime import cut, scratch
+from streetweave.sources import derived, readers
 
 _networks: dict[tuple, SpatialNetwork] = {}
 _tables: dict[tuple, DataFrame] = {}
@@ -597,3 +597,165 @@ def map_connectors(spark, sf_dir):
     c = network(spark, sf_dir).layers()["connectors"]
     a, b = F.get("geom", F.lit(0)), F.get("geom", F.lit(1))
     return c.select("entry_id", a["x"].alias("x0"), a["y"].alias("y0"), F.round(b["x"], 4).alias("x1"), F.round(b["y"], 4).alias("y1"))
+
+
+@_query(
+    _base()
+    + """, pr AS (SELECT a.id AS src, b.id AS dst FROM nodes a JOIN nodes b ON b.id = a.id + a.w + 1 WHERE a.id % a.w + 1 < a.w),
+wk(src, dst, node, len, edges) AS (SELECT src, dst, src, 0.0::DOUBLE, CAST([] AS BIGINT[]) FROM pr
+  UNION ALL SELECT p.src, p.dst, a.dst, p.len + a.cost, list_append(p.edges, a.edge_id) FROM wk p JOIN arcs a ON a.src = p.node WHERE p.node <> p.dst AND p.len + a.cost <= 450 AND NOT list_contains(p.edges, a.edge_id)),
+mn AS (SELECT src, dst, min(len) AS m FROM wk WHERE node = dst GROUP BY src, dst HAVING min(len) <= 300)
+SELECT src, dst, round(len, 4) AS length, array_to_string(edges, '-') AS edges FROM wk JOIN mn USING (src, dst) WHERE node = dst AND len <= m * 1.5::DOUBLE * 1.000000001::DOUBLE"""
+)
+def node_routes(spark, sf_dir):
+    """All routes across a cell of the grid, from corner to corner."""
+    net, (_, n, w) = network(spark, sf_dir), derived._grid(spark, sf_dir)
+    i = F.col("node_id")
+    pairs = net.nodes.where((i % w + 1 < w) & (i + w + 1 < n)).select(i.alias("src"), (i + w + 1).alias("dst"))
+    return net.node_routes(pairs, 300.0, 1.5).select("src", "dst", _r("length"), F.array_join("edges", "-").alias("edges"))
+
+
+@_query(_routes_sql(False) + ", one AS (SELECT o, d FROM od WHERE NOT same_edge ORDER BY o, d LIMIT 1) SELECT o, d, round(length, 4) AS length, array_to_string(edges, '-') AS edges FROM routes JOIN one USING (o, d)")
+def entry_pair_routes(spark, sf_dir):
+    """The routes of one pair of entries, the first with weights that isn't on one edge."""
+    net, _, o = _routes(spark, sf_dir, true_paths=True)
+    weighed = net.entries.where("weight > 0")
+    src, dst = (net._ends(weighed.where(F.col("kind") == k).select("entry_id")) for k in ("origin", "dest"))
+    od = distance.od_distances(net.labels(src, o.limit), src, dst, o.limit)
+    pair = od.where("NOT same_edge").agg(F.min(F.struct("o", "d")).alias("p")).first()["p"]
+    return _path_text(net.entry_paths(pair["o"], pair["d"], o))
+
+
+@_query(_base() + """, dg AS (SELECT 2 * id AS edge_id, id AS u, id + w + 1 AS v FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n UNION ALL SELECT 2 * id + 1, id + 1, id + w FROM nodes WHERE id % w + 1 < w AND id + w + 1 < n),
+dl AS (SELECT edge_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM dg JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v),
+en AS (SELECT edge_id, ax AS x, ay AS y FROM dl UNION SELECT edge_id, bx, yb FROM dl),
+ends AS (SELECT DISTINCT s.edge_id AS a_id, e.edge_id AS b_id, e.x, e.y FROM segs s JOIN en e ON (s.ax = e.x AND s.ay = e.y) OR (s.bx = e.x AND s.yb = e.y)),
+cr AS (SELECT s.edge_id AS a_id, d.edge_id AS b_id, s.ax AS sx, s.ay AS sy, s.bx AS tx, s.yb AS ty, ((d.ax - s.ax) * (d.yb - d.ay) - (d.ay - s.ay) * (d.bx - d.ax)) / det AS t, ((d.ax - s.ax) * (s.yb - s.ay) - (d.ay - s.ay) * (s.bx - s.ax)) / det AS q
+  FROM (SELECT s, d, (s.bx - s.ax) * (d.yb - d.ay) - (s.yb - s.ay) * (d.bx - d.ax) AS det FROM segs s JOIN dl d ON greatest(s.ax, s.bx) >= least(d.ax, d.bx) AND least(s.ax, s.bx) <= greatest(d.ax, d.bx) AND greatest(s.ay, s.yb) >= least(d.ay, d.yb) AND least(s.ay, s.yb) <= greatest(d.ay, d.yb)) WHERE abs(det) > 1e-12),
+pt AS (SELECT DISTINCT a_id, b_id, round(sx + t * (tx - sx), 2) AS x, round(sy + t * (ty - sy), 2) AS y FROM cr WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND q BETWEEN -1e-6 AND 1 + 1e-6)
+SELECT a_id, b_id, x, y FROM ends UNION ALL SELECT * FROM pt WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.a_id = pt.a_id AND e.b_id = pt.b_id AND abs(e.x - pt.x) < 0.05 AND abs(e.y - pt.y) < 0.05)""")
+def touch_points(spark, sf_dir):
+    """Where the diagonals end on streets or cross them."""
+    out = prepare.touch_points(network(spark, sf_dir).edges.select("edge_id", "geom"), derived.diagonals(spark, sf_dir))
+    return out.select("a_id", "b_id", _r("x", 2), _r("y", 2))
+
+
+@_query(_base() + """, c AS (SELECT edge_id, l0 / 2 AS pos FROM edges WHERE edge_id % 3 = 0 UNION ALL SELECT edge_id, l0 + l1 / 2 FROM edges WHERE edge_id % 2 = 0),
+s AS (SELECT edge_id, 0.0::DOUBLE AS pos FROM edges UNION ALL SELECT * FROM c UNION ALL SELECT edge_id, len FROM edges)
+SELECT edge_id, piece, round(len, 3) AS len FROM (SELECT edge_id, row_number() OVER w - 1 AS piece, lead(pos) OVER w - pos AS len FROM s WINDOW w AS (PARTITION BY edge_id ORDER BY pos)) WHERE len IS NOT NULL""")
+def split_at_points(spark, sf_dir):
+    """Edges cut in the middle of their first or second half, or of both."""
+    e = network(spark, sf_dir).edges.select("edge_id", "geom")
+    middle = lambda k: G.point((F.get("geom", F.lit(k))["x"] + F.get("geom", F.lit(k + 1))["x"]) / 2, (F.get("geom", F.lit(k))["y"] + F.get("geom", F.lit(k + 1))["y"]) / 2)
+    at = e.where("edge_id % 3 = 0").select("edge_id", middle(0).alias("p")).unionByName(e.where("edge_id % 2 = 0").select("edge_id", middle(1).alias("p")))
+    out = prepare.split_lines(e, at.select("edge_id", "p.x", "p.y"))
+    return out.select("edge_id", F.col("piece").cast("long").alias("piece"), F.round(G.length(F.col("geom")), 3).alias("len"))
+
+
+@_query(_base() + ", f AS (SELECT id, row_number() OVER (ORDER BY min(seen)) - 1 AS k FROM (SELECT u AS id, edge_id * 2 AS seen FROM edges UNION ALL SELECT v, edge_id * 2 + 1 FROM edges) GROUP BY id) SELECT edge_id, a.k AS u, b.k AS v FROM edges JOIN f a ON a.id = u JOIN f b ON b.id = v")
+def build_with_tolerance(spark, sf_dir):
+    """Ends moved by up to 0.0008, which rounding would part, are one node again within a tolerance of 0.001."""
+    e = network(spark, sf_dir).edges.select("edge_id", "geom")
+    nudge = lambda p: F.struct((p["x"] + (F.col("edge_id") % 3) * 0.0004).alias("x"), p["y"].alias("y"))
+    _, edges = build.build_graph(e.withColumn("geom", F.transform("geom", nudge)), tolerance=1e-3)
+    return edges.select("edge_id", "u", "v")
+
+
+@_query(_base() + " SELECT row_number() OVER (ORDER BY x, y) - 1 AS entry_id, x, y FROM nodes")
+def ids_when_absent(spark, sf_dir):
+    return build.with_ids(network(spark, sf_dir).nodes.select("x", "y"), "entry_id")
+
+
+@_query(_base() + ", j AS (SELECT id, max(id) OVER () + 1 + id AS n2 FROM nodes) SELECT node_id, x, y FROM (SELECT id AS node_id, CASE WHEN id % 5 = 0 THEN x + 1 ELSE x END AS x, y FROM nodes UNION ALL SELECT j.n2, x + 10, y + 10 FROM nodes JOIN j USING (id) WHERE id % 10 = 0)")
+def add_nodes(spark, sf_dir):
+    """A fifth of the nodes replaced by moved ones; ends of new edges added as nodes."""
+    net = network(spark, sf_dir)
+    nodes = build.add_nodes(net.nodes, net.nodes.where("node_id % 5 = 0").withColumn("x", F.col("x") + 1))
+    return build.add_edges(nodes, net.edges, _spurs(net))[0].select("node_id", "x", "y")
+
+
+@_query(_base() + ", t AS (SELECT max(edge_id) + 1 AS m FROM edges), h AS (SELECT max(id) + 1 AS b FROM nodes) SELECT edge_id, u, v FROM edges UNION ALL SELECT m + id, id, b + id FROM nodes, t, h WHERE id % 10 = 0")
+def add_edges(spark, sf_dir):
+    net = network(spark, sf_dir)
+    return build.add_edges(net.nodes, net.edges, _spurs(net))[1].select("edge_id", "u", "v")
+
+
+def _spurs(net: SpatialNetwork) -> DataFrame:
+    """A short new edge from every tenth node to a node that isn't there yet."""
+    top = net.edges.agg(F.max("edge_id") + 1).first()[0]
+    base = net.nodes.agg(F.max("node_id") + 1).first()[0]
+    s = net.nodes.where("node_id % 10 = 0").select((F.col("node_id") + top).alias("edge_id"), F.col("node_id").alias("u"), (F.col("node_id") + base).alias("v"), G.line(G.point("x", "y"), G.point(F.col("x") + 10, F.col("y") + 10)).alias("geom"))
+    return s.select("edge_id", "u", "v", G.length(F.col("geom")).alias("len"), G.length(F.col("geom")).alias("len_r"), F.lit(1.0).alias("weight"), "geom")
+
+
+@_query(_base() + " SELECT entry_id, edge_id, round(pos_o, 4) AS pos_o FROM snapped WHERE entry_id % 7 <> 0 UNION ALL SELECT entry_id + 10000000, edge_id, round(pos_o, 4) FROM snapped WHERE entry_id % 11 = 0")
+def change_entries(spark, sf_dir):
+    """Every seventh entry removed, copies of every eleventh added; entries without a place aren't added."""
+    e = network(spark, sf_dir).entries
+    more = e.where("entry_id % 11 = 0").withColumn("entry_id", F.col("entry_id") + 10_000_000)
+    out = build.add_entries(build.remove_entries(snap.mapped(e), e.where("entry_id % 7 = 0").select("entry_id")), more)
+    return out.select("entry_id", "edge_id", _r("pos_o"))
+
+
+@_query(_base() + " SELECT a.edge_id, round(sqrt((a.ax - a.bx) * (a.ax - a.bx) + (a.ay - a.yb) * (a.ay - a.yb) + (a.u % 7 - a.v % 7) * (a.u % 7 - a.v % 7)), 4) AS dist FROM edges a")
+def node_distance_3d(spark, sf_dir):
+    """Straight distances of the ends of edges, at heights of 0 to 6."""
+    net = network(spark, sf_dir)
+    at = lambda k: net.nodes.select(F.col("node_id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    d = net.edges.select("edge_id", "u", "v").join(at("u"), "u").join(at("v"), "v")
+    return d.select("edge_id", F.round(G.euclid3("ux", "uy", F.col("u") % 7, "vx", "vy", F.col("v") % 7), 4).alias("dist"))
+
+
+_FILES = " SELECT edge_id, round(len, 4) AS len FROM edges"
+
+
+@_query(_base() + _FILES)
+def csv_round_trip(spark, sf_dir):
+    """Edges written as CSV with WKT and read back as lines."""
+    path = scratch(spark, "csv")
+    readers.write_table(network(spark, sf_dir).edges.select("edge_id", "geom"), path, "csv")
+    d = prepare.explode_multilines(readers.read_lines(spark, path, "csv", wkt="geom"))
+    return d.select(F.col("edge_id").cast("long").alias("edge_id"), F.round(G.length(F.col("geom")), 4).alias("len"))
+
+
+@_query(_base() + _FILES)
+def geojson_round_trip(spark, sf_dir):
+    """Edges written as lines of GeoJSON features and read back."""
+    path = scratch(spark, "geojson")
+    readers.geojson_rows(network(spark, sf_dir).edges.select("edge_id", "geom")).write.text(path)
+    d = readers.read_geojson_lines(spark, path).select(F.col("properties")["edge_id"].cast("long").alias("edge_id"), "parts")
+    return prepare.explode_multilines(d).select("edge_id", F.round(G.length(F.col("geom")), 4).alias("len"))
+
+
+@_query(_od_sql(500.0) + "SELECT o, count(*) AS r FROM odw GROUP BY o")
+def saved_network_reach(spark, sf_dir):
+    """Reach on a network that was saved and loaded."""
+    net, path = network(spark, sf_dir), scratch(spark, "network")
+    readers.save_network(net.nodes, net.edges, net.entries, path)
+    again = SpatialNetwork(*readers.load_network(spark, path))
+    return again.reach(_ids(again, "origin"), _ids(again, "dest"), "N", ReachOptions(limit=500.0))
+
+
+@_query(_base() + ", j AS (SELECT id, count(*) AS c FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges) GROUP BY id) SELECT id AS node_id, CASE WHEN c = 1 THEN 255 ELSE 0 END AS r, CASE WHEN c = 1 THEN 0 ELSE 255 END AS b, CAST(c AS VARCHAR) AS label FROM j")
+def junction_layer(spark, sf_dir):
+    return network(spark, sf_dir).junction_layer().select("node_id", "color.r", "color.b", "label")
+
+
+@_query(_base() + _breaks(4) + " SELECT edge_id, round(1.0 + s * 4.0, 4) AS width, format('{:,.1f}', len * 100) AS label FROM z JOIN edges USING (edge_id)")
+def attribute_layer(spark, sf_dir):
+    """Widths and labels of edges by a hundred times their length, so that labels have thousands."""
+    net = network(spark, sf_dir)
+    out = net.attribute_layer(net.edges.select("edge_id", (F.col("len") * 100).alias("cm")), "cm", distribution="quantile")
+    return out.select("edge_id", _r("width"), "label")
+
+
+@_query(_area_sql(False) + "SELECT o, edge_id, round(vector, 4) AS vector, '#ff0000' AS hex FROM area")
+def service_area_layer(spark, sf_dir):
+    net = network(spark, sf_dir)
+    return net.area_layers(_ids(net, "origin"), 350.0)["edges"].select("o", "edge_id", _r("vector"), "hex")
+
+
+@_query(_base() + " SELECT entry_id, px AS x, py AS y, 2.0::DOUBLE AS z FROM entries")
+def raised_points(spark, sf_dir):
+    p = network(spark, sf_dir).entries.select("entry_id", style.raised(G.point("x", "y")).alias("p"))
+    return p.select("entry_id", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")])

@@ -51,7 +51,7 @@ class SpatialNetwork:
         if o.segment:
             lines = prepare.segment_intersections(lines)
             lines = build.with_ids(lines.withColumnRenamed("edge_id", "line_id"), "edge_id", [F.col("line_id"), F.col("piece")])
-        nodes, edges = build.build_graph(lines, o.digits, o.len_col, o.len_r_col, o.weight_col)
+        nodes, edges = build.build_graph(lines, o.digits, o.len_col, o.len_r_col, o.weight_col, o.tolerance)
         nodes, edges = cut(nodes), cut(edges)
         build.check_costs(edges)
         if build.dead_end_ratio(edges).first()["needs_segmenting"]:
@@ -89,6 +89,10 @@ class SpatialNetwork:
         src, dst = cut(self._ends([origin])), cut(self._ends([dest]))
         return paths.enumerate_paths(self.arcs, self.labels(src, o.limit * o.detour), src, dst, o.limit, o.detour, not (o.true_paths or o.singular), o.path_limit)
 
+    def node_routes(self, pairs: DataFrame, limit: float = 10_000.0, detour: float = 1.1, path_limit: int | None = None) -> DataFrame:
+        """pairs (src, dst) of nodes -> (src, dst, length, edges), all routes within `detour` of the shortest."""
+        return paths.enumerate_node_paths(self.arcs, pairs, limit, detour, path_limit)
+
     def _weights(self, column: str) -> DataFrame:
         w = F.col(column).cast("double") if column in self.entries.columns else F.lit(1.0)
         return self.entries.select(F.col("entry_id").alias("d"), w.alias("w"))
@@ -194,10 +198,13 @@ class SpatialNetwork:
         return out
 
     def without_edges(self, ids: DataFrame) -> SpatialNetwork:
-        """The network without these edges; entries on them lose their place."""
+        """The network without the edges of `ids` (edge_id); entries on them stay, without a place on it."""
         nodes, edges = build.remove_edges(self.nodes, self.edges, ids)
-        gone = self.entries.join(ids.select("edge_id").distinct(), "edge_id", "left_anti") if ids is not None else self.entries
-        return SpatialNetwork(nodes, edges, gone)
+        gone = ids.select("edge_id").distinct().withColumn("_gone", F.lit(True))
+        entries = self.entries.join(gone, "edge_id", "left")
+        lost = ("edge_id", "snap_dist", "pos_o", "pos_d", "ix", "iy", "edge_cost")
+        kept = [F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c in lost else F.col(c) for c in self.entries.columns]
+        return SpatialNetwork(nodes, edges, entries.select(*kept))
 
     def size_info(self) -> DataFrame:
         return build.size_info(self.nodes, self.edges, snap.mapped(self.entries))
@@ -222,6 +229,25 @@ class SpatialNetwork:
         """Nodes as map rows: red for dead ends, blue for others, with the number of edge ends as label."""
         return self.junctions().withColumn("color", style.red_blue(F.col("junct_cnt") == 1)).withColumn("label", F.col("junct_cnt").cast("string"))
 
+    def area_layers(self, origins=None, limit: float = 800.0, joined: bool = False) -> dict[str, DataFrame]:
+        """Map rows of a service area: its parts of edges with their cover, the nodes within it, and its origins, each with hex and label."""
+        red = style.hex_color(style.red_blue(F.lit(True)))
+        blue = style.hex_color(style.red_blue(F.lit(False)))
+        area = self.service_area(origins, limit, joined, geometry=True)
+        label = style.number_label(F.abs("vector") * 100)
+        edges = area.withColumn("hex", red).withColumn("label", label)
+        nodes = self.service_nodes(origins, limit, joined).withColumn("hex", blue).withColumn("label", style.number_label(F.col("dist")))
+        own = self._ends(origins).select("entry_id", "x", "y").withColumn("hex", blue).withColumn("label", F.col("entry_id").cast("string"))
+        return {"edges": edges, "nodes": nodes, "origins": own}
+
+    @staticmethod
+    def drop_layer(layers: dict[str, DataFrame], which: str | int) -> dict[str, DataFrame]:
+        """The layers without the one of a name or a place (from 0, or from the end if negative); an unknown one raises."""
+        name = which if isinstance(which, str) else list(layers)[which]
+        if name not in layers:
+            raise KeyError(name)
+        return {n: d for n, d in layers.items() if n != name}
+
     def register(self, prefix: str = "net_") -> None:
         """Temporary views for SQL: nodes, edges, entries, arcs."""
         for name in ("nodes", "edges", "entries", "arcs"):

@@ -1,4 +1,6 @@
-"""Options of the queries, with their defaults."""
+"""Options of the queries. The defaults of limits, exponents, names and digits, which users of such tools expect.
+
+path_limit keeps a pair's shortest routes only; None, the default, keeps all."""
 
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ class SessionOptions:
     edge_cost: str | None = None
     entry_reach: float = 100.0
     digits: int = 3
+    tolerance: float | None = None
     epsg: int | None = None
     segment: bool = False
 
@@ -43,7 +46,7 @@ class BetweennessOptions:
     dest_weight: str = "weight"
     detour: float = 1.0
     alpha: float = 0.0
-    path_limit: int | None = 2000
+    path_limit: int | None = None
     true_paths: bool = False
     singular: bool = False
     result: str = "PatronBtwns"
@@ -54,7 +57,7 @@ class BetweennessBatchOptions:
     limit: float = 700.0
     detour: float = 1.2
     alpha: float = 0.35
-    path_limit: int | None = 200
+    path_limit: int | None = None
     prefix: str = ""
     suffix: str = ""
 

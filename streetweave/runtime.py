@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows, of a few numbers each, up to which a table is broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one in local mode; elsewhere that raises."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_streetweave_checkpoints", None)
+    if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri()
+        sc.setCheckpointDir(root)
+        sc._streetweave_checkpoints = root
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", None) is None and not getattr(sc, "_streetweave_checkpoints", False):
-        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri())
-        sc._streetweave_checkpoints = True
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from streetweave.functions import geometry as G
 from streetweave.functions import style, timeprofile
-from streetweave.operators import build, distance, metrics, prepare, snap
+from streetweave.operators import build, distance, metrics, paths, prepare, snap
 from streetweave.plans.network import SpatialNetwork
 from streetweave.plans.options import BetweennessBatchOptions, BetweennessOptions, ReachBatchOptions, ReachOptions, SessionOptions, StraightnessOptions
 
@@ -324,3 +324,52 @@ def test_metrics_need_no_weights(path):
     od = path.od(limit=250.0)
     none = path.entries.select(F.col("entry_id").alias("d"), F.lit(None).cast("double").alias("w"))
     assert {r.r_w for r in metrics.reach(od, none, "W", 250.0).collect()} == {2.0}
+
+
+def test_node_routes(square):
+    arcs = distance.weighted_arcs(square.edges)
+    ids = {(r["x"], r["y"]): r["node_id"] for r in square.nodes.collect()}
+    a, b, c = ids[0.0, 0.0], ids[100.0, 0.0], ids[100.0, 100.0]
+    pairs = square.edges.sparkSession.createDataFrame([(a, c), (a, b), (b, b), (a, a), (a, c)], "src long, dst long")
+    got = sorted((r["src"], r["dst"], r["length"], len(r["edges"])) for r in square.node_routes(pairs, 250.0, 3.0).collect())
+    assert got == sorted([(a, c, 200.0, 2), (a, c, 200.0, 2), (a, b, 100.0, 1), (a, b, 300.0, 3), (b, b, 0.0, 0), (a, a, 0.0, 0)])
+    assert {(r["src"], r["dst"]) for r in square.node_routes(pairs, 150.0, 3.0).collect()} == {(a, b), (b, b), (a, a)}
+    assert square.node_routes(pairs, 250.0, 3.0, path_limit=1).count() == 4
+    assert square.node_routes(pairs.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        paths.enumerate_node_paths(arcs, pairs, 250.0, 3.0, max_open=1).count()
+
+
+def test_crossings_are_touch_points(spark):
+    a = lines(spark, [(0, 0), (50, 0), (100, 0)], [(0, 500), (100, 500)])
+    b = lines(spark, [(50, -10), (50, 10)], [(20, 0), (20, 90)], [(30, -10), (30, 10), (40, 10), (40, -10)], [(0, 0), (100, 0)])
+    got = sorted((r["a_id"], r["b_id"], round(r["x"], 6), round(r["y"], 6)) for r in prepare.touch_points(a, b).collect())
+    assert got == [(0, 0, 50, 0), (0, 1, 20, 0), (0, 2, 30, 0), (0, 2, 40, 0), (0, 3, 0, 0), (0, 3, 100, 0)]
+
+
+def test_session_with_tolerance(spark):
+    net = lines(spark, [(0, 0), (100, 0.00049)], [(100, 0.00051), (200, 0)], [(100, 50), (100, 100)])
+    e = entries(spark, (50, 0, 1), (150, 0, 1))
+    assert SpatialNetwork.from_lines(net, e).od().count() == 0
+    n = SpatialNetwork.from_lines(net, e, SessionOptions(tolerance=1e-3))
+    assert n.nodes.count() == 5
+    assert n.od().count() == 2
+
+
+def test_entries_of_removed_edges_stay(path):
+    less = path.without_edges(path.edges.where("edge_id = 1").select("edge_id"))
+    got = rows(less.entries, "entry_id")
+    assert len(got) == 3
+    assert [got[i]["edge_id"] for i in range(3)] == [0, None, 2]
+    assert got[1]["category"] == "b" and got[1]["pos_o"] is None
+
+
+def test_area_layers_and_dropping(path):
+    area = path.area_layers([1], 100.0)
+    assert set(area) == {"edges", "nodes", "origins"}
+    assert {r["label"] for r in area["edges"].collect()} == {"100.0", "50.0"}
+    assert [r["label"] for r in area["origins"].collect()] == ["1"]
+    assert list(path.drop_layer(area, "nodes")) == ["edges", "origins"]
+    assert list(path.drop_layer(area, -1)) == ["edges", "nodes"]
+    with pytest.raises(KeyError):
+        path.drop_layer(area, "roads")
