@@ -32,10 +32,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a local one only where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a local one in local mode; elsewhere that raises."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_streetweave_shared", None)
     if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
         sc.setCheckpointDir(root)
         sc._streetweave_shared = root
