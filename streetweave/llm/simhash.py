@@ -3,7 +3,8 @@
 A fingerprint bit is 1 if it is set in over half the hashes of a text's shingles. Two fingerprints link
 when they differ in at most `budget` bits. They are found by walking a binary trie against itself: a
 pair of nodes carries the differing bits of its two prefixes, goes on to the pairs of their children,
-and is dropped once the bits exceed the budget; pairs of single fingerprints end with a bit count.
+and is dropped once the bits exceed the budget; pairs of nodes with few fingerprints end with bit counts,
+all against all.
 
 The walk is shared out in two ways. A pair within the budget agrees in one of budget + 1 stretches of
 bits, so the trie is built once for each stretch, turned to the front, and the walk starts at the pairs
@@ -37,6 +38,8 @@ CROWD = 8192
 BAND_CROWD = 1 << 17
 #: Node pairs walked at once, rows of whole node pairs held at once, and rounds of first links.
 FRONT, HELD, ROUNDS = 1 << 18, 1 << 15, 3
+#: Rows of a trie node up to which node pairs aren't followed further, but compared row by row.
+SIDE = 32
 #: Bits by which it is then divided.
 STEP = 6
 _CHUNK = 1 << 16
@@ -145,6 +148,7 @@ class Groups:
     def __init__(self, n: int):
         self.label = np.arange(n)
         self.links: list[tuple[int, int]] = []
+        self.runs: np.ndarray | None = None
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         a, b = self.label[i], self.label[j]
@@ -169,12 +173,18 @@ class Groups:
         to = np.arange(len(self.label))
         for x in parent:
             to[x] = find(x)
-        self.label = to[self.label]
+        self.label, self.runs = to[self.label], None
 
     def whole(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The label that all rows of [lo, hi) have, or -1."""
-        runs = np.cumsum(np.diff(self.label, prepend=self.label[:1]) != 0)
-        return np.where(runs[lo] == runs[hi - 1], self.label[lo], -1)
+        if self.runs is None:
+            self.runs = np.cumsum(np.diff(self.label, prepend=self.label[:1]) != 0)
+        return np.where(self.runs[lo] == self.runs[hi - 1], self.label[lo], -1)
+
+    def apart(self, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
+        """Whether rows of [lo, hi) and [lo2, hi2) may still be unconnected."""
+        one = self.whole(lo, hi)
+        return (one < 0) | (one != self.whole(lo2, hi2))
 
 
 def walk(keys: np.ndarray, depth: int, width: int, budget: int, pairs: tuple[np.ndarray, ...], close, groups: Groups) -> None:
@@ -203,14 +213,19 @@ def walk(keys: np.ndarray, depth: int, width: int, budget: int, pairs: tuple[np.
         lo, hi, lo2, hi2, err, same = (x[alive] for x in (lo, hi, lo2, hi2, err, same))
         if not len(lo):
             continue
-        one = groups.whole(lo, hi)
-        alive = (one < 0) | (one != groups.whole(lo2, hi2))
-        leaf = (hi - lo == 1) & (hi2 - lo2 == 1) if depth < width else np.ones(len(lo), dtype=bool)
+        alive = groups.apart(lo, hi, lo2, hi2)
+        # Few rows are sooner compared than parted: near the leaves there are more node pairs than near rows.
+        small = (hi - lo <= SIDE) & (hi2 - lo2 <= SIDE)
+        for i, j in _compared(keys, *(x[small & alive] for x in (lo, hi, lo2, hi2)), budget, groups):
+            near = np.flatnonzero(groups.label[i] != groups.label[j])
+            near = near[close(i[near], j[near])]
+            groups.add(i[near], j[near])
+        leaf = ~small if depth >= width else np.zeros(len(lo), dtype=bool)
         for i, j in _expand(*(x[leaf & alive] for x in (lo, hi, lo2, hi2))):
             near = np.flatnonzero((np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (groups.label[i] != groups.label[j]))
             near = near[close(i[near], j[near])]
             groups.add(i[near], j[near])
-        lo, hi, lo2, hi2, err, same = (x[alive & ~leaf] for x in (lo, hi, lo2, hi2, err, same))
+        lo, hi, lo2, hi2, err, same = (x[alive & ~small & ~leaf] for x in (lo, hi, lo2, hi2, err, same))
         if depth >= width or not len(lo):
             continue
         n = ones(depth)
@@ -220,6 +235,34 @@ def walk(keys: np.ndarray, depth: int, width: int, budget: int, pairs: tuple[np.
         stack.append((depth + 1, tuple(np.concatenate(x) for x in both)))
 
 
+def _compared(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int, groups: Groups) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the ranges' rows whose keys are within the budget, each once, from blocks of ranges of about one length.
+
+    Ranges that `groups` has connected by the time of their block are left out."""
+    order = np.argsort(-np.maximum(hi - lo, hi2 - lo2), kind="stable")
+    pairs = tuple(x[order] for x in (lo, hi, lo2, hi2))
+    at = 0
+    while at < len(lo):
+        first, last, first2, last2 = (x[at] for x in pairs)
+        block = slice(at, at + max(1, FRONT // int(max(last - first, last2 - first2)) ** 2))
+        at = block.stop
+        some = tuple(x[block] for x in pairs)
+        s, e, s2, e2 = (x[groups.apart(*some)] for x in some)
+        if not len(s):
+            continue
+        a, b = int((e - s).max()), int((e2 - s2).max())
+        # Shorter ranges are filled up with rows behind them, whose pairs are left out.
+        i = np.minimum(s[:, None] + np.arange(a), len(keys) - 1)
+        j = np.minimum(s2[:, None] + np.arange(b), len(keys) - 1)
+        near = np.flatnonzero(np.bitwise_count(keys[i][:, :, None] ^ keys[j][:, None, :]) <= budget)
+        row, c = np.divmod(near, b)
+        pair, r = np.divmod(row, a)
+        i, j = s[pair] + r, s2[pair] + c
+        # Of a node with itself both orders are there.
+        own = (i < e[pair]) & (j < e2[pair]) & (i < j)
+        yield i[own], j[own]
+
+
 def _expand(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of the ranges' rows, in blocks."""
     n = (hi - lo) * (hi2 - lo2)

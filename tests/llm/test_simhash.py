@@ -130,6 +130,41 @@ def test_walk_against_all_pairs():
     assert pairs == want
 
 
+@pytest.mark.parametrize(("rows", "most"), [(3_700, 40), (12_000, 80)])
+def test_node_pairs_stay_few(rows, most):
+    """One cell of a band's trie: all pairs of near keys, from far fewer node pairs a row than there are near the leaves."""
+    followed, pairs = [], []
+
+    class Counted(simhash.Groups):
+        def whole(self, lo, hi):
+            followed.append(len(lo))
+            return super().whole(lo, hi)
+
+    def close(i, j):
+        pairs.append(np.sort(np.stack([i, j], 1), axis=1))
+        return np.arange(0)  # nothing is linked, so nothing is left out
+
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 26, rows, dtype=np.uint64) << np.uint64(32))
+    z = np.zeros(1, dtype=np.int64)
+    simhash.walk(keys, 6, 32, 4, (z, z + rows, z, z + rows, z), close, Counted(rows))
+    want = [np.stack([np.full(k, i), i + 1 + near], 1) for i in range(rows) if (k := len(near := np.flatnonzero(np.bitwise_count(keys[i + 1 :] ^ keys[i]) <= 4)))]
+    assert np.array_equal(np.unique(np.concatenate(pairs), axis=0), np.concatenate(want))
+    assert sum(followed) / 2 < most * rows
+
+
+def test_blocks_of_unequal_ranges():
+    """Nodes of all sizes, full of equal keys, at the end of the keys too: each near pair comes out once."""
+    rng = np.random.default_rng(8)
+    keys = np.sort(np.repeat(rng.integers(0, 1 << 7, 60, dtype=np.uint64) << np.uint64(57), rng.integers(1, 40, 60)))
+    cuts = np.unique(np.concatenate([[0, len(keys)], rng.integers(0, len(keys), 90)]))
+    lo, hi = cuts[:-1], cuts[1:]
+    a, b = np.triu_indices(len(lo))
+    got = [np.stack(x, 1) for x in simhash._compared(keys, lo[a], hi[a], lo[b], hi[b], 2, simhash.Groups(len(keys)))]
+    want = np.argwhere(np.triu(np.bitwise_count(keys[:, None] ^ keys) <= 2, 1))
+    got = np.concatenate(got)
+    assert np.array_equal(got[np.lexsort((got[:, 1], got[:, 0]))], want)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 90)] + [(200, x) for x in range(201, 260)] + [(500, 500), (600, 601), (601, 600)]
