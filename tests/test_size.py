@@ -10,6 +10,7 @@ from streetweave.plans import catalogue, network
 SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "entry_snap",
+    "add_nodes",
 ]
 
 
