@@ -11,6 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "entry_snap",
     "add_nodes",
+    "change_entries",
 ]
 
 
