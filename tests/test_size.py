@@ -12,6 +12,7 @@ NAMES = [
     "entry_snap",
     "add_nodes",
     "change_entries",
+    "node_removed_graph",
 ]
 
 
