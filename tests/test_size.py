@@ -13,6 +13,7 @@ NAMES = [
     "add_nodes",
     "change_entries",
     "node_removed_graph",
+    "node_path_edges",
 ]
 
 
