@@ -14,6 +14,7 @@ NAMES = [
     "change_entries",
     "node_removed_graph",
     "node_path_edges",
+    "dead_end_lines",
 ]
 
 
