@@ -15,6 +15,7 @@ NAMES = [
     "node_removed_graph",
     "node_path_edges",
     "dead_end_lines",
+    "bbox_overlap_pairs",
 ]
 
 
