@@ -16,6 +16,7 @@ NAMES = [
     "node_path_edges",
     "dead_end_lines",
     "bbox_overlap_pairs",
+    "net_nodes_junctions",
 ]
 
 
