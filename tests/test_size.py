@@ -17,6 +17,7 @@ NAMES = [
     "dead_end_lines",
     "bbox_overlap_pairs",
     "net_nodes_junctions",
+    "junction_layer",
 ]
 
 
