@@ -18,6 +18,7 @@ NAMES = [
     "bbox_overlap_pairs",
     "net_nodes_junctions",
     "junction_layer",
+    "attribute_layer",
 ]
 
 
