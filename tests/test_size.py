@@ -19,6 +19,7 @@ NAMES = [
     "net_nodes_junctions",
     "junction_layer",
     "attribute_layer",
+    "node_shortest_distance",
 ]
 
 
