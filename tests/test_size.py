@@ -21,6 +21,7 @@ NAMES = [
     "attribute_layer",
     "node_shortest_distance",
     "betweenness_plural",
+    "betweenness_true_paths",
 ]
 
 
