@@ -22,6 +22,7 @@ NAMES = [
     "node_shortest_distance",
     "betweenness_plural",
     "betweenness_true_paths",
+    "node_distance_3d",
 ]
 
 
