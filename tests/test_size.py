@@ -23,6 +23,7 @@ NAMES = [
     "betweenness_plural",
     "betweenness_true_paths",
     "node_distance_3d",
+    "colour_ramp",
 ]
 
 
