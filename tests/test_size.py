@@ -24,6 +24,7 @@ NAMES = [
     "betweenness_true_paths",
     "node_distance_3d",
     "colour_ramp",
+    "explode_multilines",
 ]
 
 
