@@ -25,6 +25,7 @@ NAMES = [
     "node_distance_3d",
     "colour_ramp",
     "explode_multilines",
+    "extend_lines",
 ]
 
 
