@@ -26,6 +26,7 @@ NAMES = [
     "colour_ramp",
     "explode_multilines",
     "extend_lines",
+    "flatten_lines",
 ]
 
 
