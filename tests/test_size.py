@@ -27,6 +27,7 @@ NAMES = [
     "explode_multilines",
     "extend_lines",
     "flatten_lines",
+    "geojson_round_trip",
 ]
 
 
