@@ -28,6 +28,7 @@ NAMES = [
     "extend_lines",
     "flatten_lines",
     "geojson_round_trip",
+    "hex_colour",
 ]
 
 
