@@ -29,6 +29,7 @@ NAMES = [
     "flatten_lines",
     "geojson_round_trip",
     "hex_colour",
+    "ids_when_absent",
 ]
 
 
