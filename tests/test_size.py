@@ -30,6 +30,7 @@ NAMES = [
     "geojson_round_trip",
     "hex_colour",
     "ids_when_absent",
+    "junction_compile",
 ]
 
 
