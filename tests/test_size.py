@@ -31,6 +31,7 @@ NAMES = [
     "hex_colour",
     "ids_when_absent",
     "junction_compile",
+    "line_points",
 ]
 
 
