@@ -32,6 +32,7 @@ NAMES = [
     "ids_when_absent",
     "junction_compile",
     "line_points",
+    "net_dead_end_ratio",
 ]
 
 
