@@ -33,6 +33,18 @@ NAMES = [
     "junction_compile",
     "line_points",
     "net_dead_end_ratio",
+    "net_build_edges",
+    "node_shortest_path",
+    "service_area_length",
+    "service_area_nodes",
+    "service_area_from_node",
+    "segment_intersections",
+    "edge_removed_graph",
+    "smallest_missing_id",
+    "node_routes",
+    "touch_points",
+    "split_at_points",
+    "build_with_tolerance",
 ]
 
 
